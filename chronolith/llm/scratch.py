@@ -8,6 +8,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 1_000_000  # keys that are copied to every executor at most: some 50 MB there
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -36,3 +39,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def keyed_side(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``small``, a materialized table of ids, ready to be joined to whole texts: copied out while its counted rows are few, else merged by a shuffle."""
+    return F.broadcast(small) if small.count() <= limit else small.hint("merge")
