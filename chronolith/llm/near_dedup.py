@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import materialize
+from .scratch import keyed_side, materialize
 from .words import mix, shingle_sets
 
 BUCKETS, BANDS, MANTISSA = 128, 32, 10
@@ -280,3 +280,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75) -> Dat
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def keep_first(docs: DataFrame, shingle: int = 5, percent: int = 75) -> DataFrame:
+    """Rows of ``docs``, with all their columns, that stand for their near-duplicates: one row of each component.
+
+    Documents without words and rows without a doc_id are nobody's duplicates and all stay.
+    Of rows that share the kept doc_id one stays, the one whose columns come first in order.
+    """
+    found = near_duplicates(docs, shingle, percent).where("kept").groupBy("doc_id").agg(F.count("*").alias("_rows"))
+    found = materialize(found, "kept")
+    side = keyed_side(found).withColumnRenamed("doc_id", "_id")
+    rows = docs.join(side, F.col("doc_id") == F.col("_id"))
+    single = rows.where("_rows = 1").select(*docs.columns)
+    several = rows.where("_rows > 1").select(F.struct(*docs.columns).alias("_row")).groupBy("_row.doc_id").agg(F.min("_row").alias("_row")).select("_row.*")
+    return single.unionByName(several).unionByName(docs.where("doc_id IS NULL"))
