@@ -1,7 +1,7 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines, one for each block element.  Text in menus,
-headers, forms, adverts and the like gives empty lines, and link text carries no
+headers, forms, adverts and the like gives a window of empty lines, and link text carries no
 length outside an article element.  Lengths are summed over windows of
 ``WINDOW`` lines; text starts where the sum surges over a threshold that follows
 the page's largest window, and ends where it dives to nothing.  What lies
@@ -67,7 +67,7 @@ def _end_of(page: str, at: int, name: str) -> int | None:
 
 
 def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, length that isn't link text, whether in an article element) of each block in page order; what stands apart is an empty line."""
+    """(text, length that isn't link text, whether in an article element) of each block in page order; what stands apart is a window of empty lines."""
     out: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     linked = inside = anchor = 0
@@ -102,7 +102,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             else:
                 if name not in RAW or name == "head":
                     close_block()
-                    out.append(("", 0, False))
+                    out += [("", 0, False)] * WINDOW
                 at = end
                 continue
         if name in BLOCKS:
@@ -127,7 +127,7 @@ def main_text(page: str | None) -> str:
     window = np.convolve(size, np.ones(WINDOW, dtype=np.int64), mode="valid")  # window[i] sums lines i to i + WINDOW - 1
     if not len(found) or not window.any():
         return ""
-    surge = min(SURGE, SURGE_SHARE * window.max())
+    surge = 1 if contained else min(SURGE, SURGE_SHARE * window.max())  # in an article element every line counts
     kept: list[str] = []
     i = 0
     while i < len(found):
