@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, line_dedup, mixing, packing, quality
+from . import html_text, line_dedup, mixing, ogg, packing, quality
 from .near_dedup import near_duplicates
 
 
@@ -35,6 +35,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ogg.media_columns(_table(spark, sf_dir, "documents"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_takes(_table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_line_dedup": op6_line_dedup,
+    "op9_ogg_media": op9_ogg_media,
     "op10_mix_sources": op10_mix_sources,
 }
 
