@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from .scratch import BROADCAST_ROWS, keyed_side, materialize
-from .words import mix, word_hashes
+from .words import mix, slices, word_hashes
 
 MIN_WORDS = 8
 _U = np.uint64
@@ -60,7 +60,7 @@ def _line_arrays(text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 
 def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text_key, text) to a row for each line with words: doc_id, text_key, line, n, hash, keys."""
-    for batch in batches:
+    for batch in slices(batches):
         row, number, lines = _line_arrays(batch.column(2))
         out = []
         for first, last, w, n in word_hashes(lines):
@@ -129,7 +129,7 @@ _VARIANTS = "key long, role int, doc_id long, text_key long, line int, hash long
 
 def _lookup_batches(batches: Iterator[pa.RecordBatch], table: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Texts (doc_id, text_key, text) against a sorted table of chosen line places."""
-    for batch in batches:
+    for batch in slices(batches):
         ids, text_keys = np.asarray(batch.column(0)), np.asarray(batch.column(1))
         lo, hi = np.searchsorted(table["doc_id"], ids), np.searchsorted(table["doc_id"], ids, side="right")
         if not (hi > lo).any():

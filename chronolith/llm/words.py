@@ -26,6 +26,13 @@ _SHINGLE = _rng.integers(1, 2**63, 16, dtype=np.uint64) | _U(1)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, for work whose memory is many times that of the texts."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser; ``x`` is left alone."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
