@@ -34,7 +34,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def capture(spark: SparkSession, folder: str) -> DataFrame:
-    """Files below a folder: path (relative), size, mtime, content digest, class, whether it is a SQLite database."""
+    """Files below a folder: path (relative), size, mtime, content digest, class, whether it is a SQLite database.
+
+    Spark lists no names that begin with a dot or an underscore.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     base = folder.split("://")[-1].rstrip("/")
     path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/+", "/"), f"^.*?{base}/", "")
