@@ -255,7 +255,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75) -> Dat
     sizes = pairs.groupBy("hub").agg(F.count("*").alias("members"))
     salted = pairs.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / STAR).cast("long")).cast("int").alias("salt"), "node")
     star = salted.union(salted.select("hub", "salt", F.col("hub").alias("node")).distinct())
-    text = docs.select(F.col("doc_id").alias("node"), "text")
+    # whole texts are met once: those of documents that share a bucket are few, and are kept by themselves
+    met = keyed_side(materialize(member.select("node").distinct(), "met"))
+    text = materialize(docs.select(F.col("doc_id").alias("node"), "text").join(met, "node", "left_semi"), "texts")
     star = star.join(text, "node").select("hub", "salt", "node", "text")
     star = star.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("node") != F.col("hub"))
     links = materialize(star.mapInArrow(lambda it: _star_batches(it, shingle, percent), "a long, b long"), "links")
