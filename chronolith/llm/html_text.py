@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .scratch import bounded_batches
+
 WINDOW, SURGE, SURGE_SHARE = 3, 50, 0.25
 
 # Element names of HTML, and words of class, id and role that name what is not the article.
@@ -163,4 +165,5 @@ def extract(pages: DataFrame) -> DataFrame:
     text.  An element that is opened and never closed is not taken to reach to
     the end of the page.  Other columns are ignored.
     """
+    bounded_batches(pages.sparkSession)
     return pages.select("page_id", "url", "html").mapInArrow(_batches, "page_id long, url string, text string, n_chars long")

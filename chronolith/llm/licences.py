@@ -20,6 +20,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from .scratch import bounded_batches
+
 from .words import mix, word_hashes
 
 # Usual wordings of each family's notices.
@@ -246,6 +248,7 @@ def scan_texts(scanner: Scanner, texts: pa.Array) -> Iterator[tuple[int, int, st
 
 def licence_paragraphs(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text, ...)`` to a row for each paragraph of licence wording: doc_id, line, family, probability, similarity."""
+    bounded_batches(docs.sparkSession)
     scanner = train()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,6 +267,7 @@ def document_licences(docs: DataFrame) -> DataFrame:
     none; ``n_paragraphs`` counts paragraphs of licence wording, ``n_unknown``
     those that no family explains.  Null, empty and blank texts have none.
     """
+    bounded_batches(docs.sparkSession)
     scanner = train()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

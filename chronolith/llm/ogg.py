@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .scratch import bounded_batches
+
 # Fixed values of the container: capture pattern, page header layout, header type bits.
 CAPTURE, HEADER = b"OggS", struct.Struct("<4sBBqIIIB")
 CONTINUED, FIRST, LAST = 1, 2, 4
@@ -196,6 +198,7 @@ def media_columns(docs: DataFrame) -> DataFrame:
     packets reassembled and streams put together before anything is computed.
     Equal texts give equal values.  Other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(
         _batches,
         "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",

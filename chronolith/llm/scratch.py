@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS = 1000
+ROW_GROUP = 16 << 20  # bytes that a writing task buffers
 BROADCAST_ROWS = 1_000_000  # keys that are copied to every executor at most: some 50 MB there
 
 
@@ -33,11 +35,18 @@ def scratch_root(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Rows go to Python in batches of at most ``BATCH_ROWS``: whole texts may be long, and every running task holds a few batches."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) not in range(1, BATCH_ROWS + 1):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back: computed once, lineage cut, lost executors harmless."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 19  # text bytes hashed at a time; a longer document is cut at white space
+BLOCK_BYTES = 1 << 17  # text bytes hashed at a time; a longer document is cut at white space
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
