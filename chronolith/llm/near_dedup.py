@@ -228,7 +228,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75) -> Dat
     linked; ``component_id`` is the least doc_id that can be reached.
 
     Null, empty and blank texts have no shingles and form components of their
-    own.  Rows that share a doc_id count as one node and come back once each.
+    own.  Rows that share a doc_id come back once each, by their own texts; as
+    representatives they are one node.
     A row without a doc_id keeps its n_shingles, and has a null component and
     kept = false.  Other columns of ``docs`` are ignored.
     """
@@ -290,8 +291,8 @@ def keep_first(docs: DataFrame, shingle: int = 5, percent: int = 75) -> DataFram
     Documents without words and rows without a doc_id are nobody's duplicates and all stay.
     Of rows that share the kept doc_id one stays, the one whose columns come first in order.
     """
-    found = near_duplicates(docs, shingle, percent).where("kept").groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    found = materialize(found, "kept")
+    found = near_duplicates(docs, shingle, percent).groupBy("doc_id").agg(F.count("*").alias("_rows"), F.max("kept").alias("_kept"))
+    found = materialize(found.where("_kept").drop("_kept"), "kept")
     side = keyed_side(found).withColumnRenamed("doc_id", "_id")
     rows = docs.join(side, F.col("doc_id") == F.col("_id"))
     single = rows.where("_rows = 1").select(*docs.columns)
