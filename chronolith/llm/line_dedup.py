@@ -72,7 +72,7 @@ def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             whole = _closed(ahead[end] - ahead[start], n)
             keys = []
             for half in classes(n):
-                half = np.minimum(half, n)
+                half = np.clip(half, 0, n)
                 keys.append(mix(ahead[start + half] - ahead[start] + half.astype(np.uint64) * _C) & ~_U(1))
                 keys.append(mix(behind[end] - behind[end - half] + half.astype(np.uint64) * _C) | _U(1))
             out.append((np.arange(first, last), n, whole, *keys))
