@@ -2,13 +2,13 @@
 
 import pytest
 
-from chronolith.plans import forks, history, objects, states
+from chronolith.plans import exchange, forks, history, objects, states
 from chronolith.streaming import radar
 
 from .oracle import connect, same
 
 SF = "/root/testdata/sf0.001"
-ALL = {**history.QUERIES, **states.QUERIES, **forks.QUERIES, **objects.QUERIES, **radar.QUERIES}
+ALL = {**history.QUERIES, **states.QUERIES, **forks.QUERIES, **objects.QUERIES, **exchange.QUERIES, **radar.QUERIES}
 
 
 @pytest.fixture(scope="module")
