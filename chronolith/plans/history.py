@@ -104,7 +104,7 @@ def cursor_codec(spark: SparkSession, sf: str) -> DataFrame:
 def cursor_state(spark: SparkSession, sf: str) -> DataFrame:
     """Whether cursors are found, given the log's bounds: a cursor before the oldest row has expired."""
     a = timeline(spark, sf).where("sequence > 500").agg(F.min("sequence").alias("oldest"), F.max("sequence").alias("newest"))
-    return a.select("oldest", "newest", F.explode(F.array(*map(F.lit, (0, 400, 500, 501, 900, 10**9)))).cast("long").alias("cursor")).select(
+    return a.select("oldest", "newest", F.explode(F.array(*(F.lit(x).cast("long") for x in (0, 400, 500, 501, 900, 10**9)))).alias("cursor")).select(
         "cursor", F.when(F.col("cursor") < F.col("oldest") - 1, "expired").when(F.col("cursor") > F.col("newest"), "unknown").otherwise("found").alias("state")
     )
 
