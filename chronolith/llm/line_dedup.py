@@ -232,7 +232,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     _, drops = _places(docs)
     per_text = materialize(drops.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list("line")).alias("gone")), "gone")
-    side = keyed_side(per_text).withColumnsRenamed({"doc_id": "_doc", "text_key": "_key"})
+    side = keyed_side(per_text, drops).withColumnsRenamed({"doc_id": "_doc", "text_key": "_key"})
     rows = docs.withColumn("_own", F.xxhash64("text"))
     rows = rows.join(side, (F.col("doc_id") == F.col("_doc")) & (F.col("_own") == F.col("_key")), "left")
     parts = F.split("text", "\n")

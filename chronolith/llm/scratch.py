@@ -50,6 +50,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def keyed_side(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``small``, a materialized table of ids, ready to be joined to whole texts: copied out while its counted rows are few, else merged by a shuffle."""
-    return F.broadcast(small) if small.count() <= limit else small.hint("merge")
+def keyed_side(small: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """``small``, a materialized table of ids, ready to be joined to whole texts: copied out while its rows, or those that it was gathered from (``counted``), are few, else merged by a shuffle."""
+    rows = (small if counted is None else counted).count()
+    return F.broadcast(small) if rows <= BROADCAST_ROWS else small.hint("merge")
