@@ -44,7 +44,7 @@ def upserts(spark: SparkSession, sf: str) -> DataFrame:
 
 def fork_enrichment(spark: SparkSession, sf: str) -> DataFrame:
     """Forks with their last change and number of changes."""
-    c = table(spark, sf, "customer").where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("fork"), "c_name", F.floor("c_acctbal").cast("long").alias("created_at"))
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("fork"), "c_name", F.floor("c_acctbal").cast("long").alias("created_at"))
     t = timeline(spark, sf).groupBy(F.col("workspace").alias("fork")).agg(F.max("sealed_at").alias("updated_at"), F.count("*").alias("changes"))
     return c.join(t, "fork", "left").select("fork", F.col("c_name").alias("name"), "created_at", "updated_at", F.coalesce("changes", F.lit(0)).alias("changes"))
 
@@ -86,7 +86,7 @@ QUERIES = {
     "self_writes": (self_writes, f"{_T} SELECT kind, count(*) AS n FROM timeline t WHERE NOT EXISTS (SELECT 1 FROM (SELECT k, arg_max(snapshot_id, sequence) AS s FROM timeline WHERE kind = 'purchase' GROUP BY 1) o WHERE o.k = t.k AND o.s = t.snapshot_id) GROUP BY 1"),
     "claims_in_force": (claims_in_force, f"{_T} SELECT kind || '/' || k AS pattern, workspace, max(sealed_at + 86400 * (1 + k % 3)) AS expires_at, count(*) AS claimed FROM timeline GROUP BY 1, 2 HAVING max(sealed_at + 86400 * (1 + k % 3)) > {NOW}"),
     "cache_upserts": (upserts, f"{_T} SELECT workspace, kind, k, sequence FROM (SELECT *, row_number() OVER (PARTITION BY workspace, kind ORDER BY sequence % 2 DESC, sequence DESC) AS rn FROM timeline WHERE sequence % 2 = 0 OR k % 5 <> 0) WHERE rn = 1"),
-    "fork_enrichment": (fork_enrichment, f"{_T} SELECT c_custkey AS fork, c_name AS name, floor(c_acctbal)::BIGINT AS created_at, updated_at, coalesce(changes, 0) AS changes FROM customer LEFT JOIN (SELECT workspace, max(sealed_at) AS updated_at, count(*) AS changes FROM timeline GROUP BY 1) t ON t.workspace = c_custkey WHERE c_custkey % 5 = 0"),
+    "fork_enrichment": (fork_enrichment, f"{_T} SELECT c_custkey AS fork, c_name AS name, floor(c_acctbal)::BIGINT AS created_at, updated_at, coalesce(changes, 0) AS changes FROM customer LEFT JOIN (SELECT workspace, max(sealed_at) AS updated_at, count(*) AS changes FROM timeline GROUP BY 1) t ON t.workspace = c_custkey"),
     "run_summary": (run_summary, "SELECT scenario, count(*) AS samples, min(v) AS least, max(v) FILTER (rn = total // 2 + 1) AS median, max(v) FILTER (rn = (total * 95 + 99) // 100) AS p95, max(v) AS most FROM (SELECT o_orderpriority AS scenario, floor(o_totalprice)::BIGINT AS v, row_number() OVER (PARTITION BY o_orderpriority ORDER BY floor(o_totalprice)) AS rn, count(*) OVER (PARTITION BY o_orderpriority) AS total FROM orders) GROUP BY 1"),
     "url_decoded": (decoded, "SELECT page_id, url || ' x' AS decoded FROM pages"),
     "output_tails": (tails, "SELECT doc_id, right(text, 64) AS tail, length(text) > 64 AS cut FROM documents"),

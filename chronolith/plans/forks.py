@@ -19,8 +19,8 @@ def _claims(spark: SparkSession) -> DataFrame:
 
 
 def radar_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    # the forks of one shard: all pairs of all forks are a report that grows with their square
-    return R.pairs(dirty_scopes(spark, sf).where("fork % 10 = 1"))
+    """Every overlapping pair of forks: the result itself grows with the square of a path's forks; conflicts and members don't need it."""
+    return R.pairs(dirty_scopes(spark, sf))
 
 
 def radar_members(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,11 +85,11 @@ _S = f"WITH {TIMELINE_SQL}, {scopes_sql()}"
 _BOTH = f"WITH {TIMELINE_SQL}, {scopes_sql('s0', 0)}, {scopes_sql('s1', 1)}"
 
 
-def _pairs_sql(scopes: str, name: str, where: str = "true") -> str:
+def _pairs_sql(scopes: str, name: str) -> str:
     return f"""
 {name} AS (
   SELECT DISTINCT CASE WHEN d1.scope = 1 THEN d1.path WHEN d2.scope = 1 THEN d2.path ELSE d1.path END AS path, d1.fork AS left_id, d2.fork AS right_id
-  FROM (SELECT * FROM {scopes} WHERE {where}) d1 JOIN (SELECT * FROM {scopes} WHERE {where}) d2 ON d1.fork < d2.fork AND split_part(d1.path, '/', 1) = split_part(d2.path, '/', 1) AND split_part(d1.path, '/', 2) = split_part(d2.path, '/', 2)
+  FROM {scopes} d1 JOIN {scopes} d2 ON d1.fork < d2.fork AND split_part(d1.path, '/', 1) = split_part(d2.path, '/', 1) AND split_part(d1.path, '/', 2) = split_part(d2.path, '/', 2)
   WHERE d1.scope = 0 AND d2.scope = 0 AND d1.path = d2.path
      OR d1.scope = 1 AND (d2.path = d1.path OR starts_with(d2.path, d1.path || '/'))
      OR d2.scope = 1 AND (d1.path = d2.path OR starts_with(d1.path, d2.path || '/')))"""
@@ -130,7 +130,7 @@ named AS (SELECT *, substr(sha256('conflict' || chr(0) || '{FAMILY}' || chr(0) |
 ev AS (SELECT *, substr(sha256('event' || chr(0) || conflict_id || chr(0) || state || chr(0) || signature || chr(0) || claim_state || chr(0)), 1, 32) AS event_id FROM named)"""
 
 QUERIES = {
-    "radar_pairs": (radar_pairs, f"{_S}, {_pairs_sql('scopes', 'pairs', 'fork % 10 = 1')} SELECT * FROM pairs"),
+    "radar_pairs": (radar_pairs, f"{_S}, {_pairs_sql('scopes', 'pairs')} SELECT * FROM pairs"),
     "radar_members": (radar_members, f"{_S}, {_members_sql('scopes', 'x')} SELECT path, fork FROM xm"),
     "radar_conflicts": (radar_conflicts, f"{_S}, {_conflicts_sql('scopes', 'x')} SELECT path, sha256(signature) AS signature, claim_state, forks FROM xc"),
     "radar_summary": (radar_summary, f"{_S}, {_members_sql('scopes', 'x')} SELECT fork, count(*) AS conflicts, array_to_string(list_sort(list(path))[1:20], ',') AS first_paths FROM xm GROUP BY 1"),

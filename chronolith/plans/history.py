@@ -11,6 +11,7 @@ from .model import HISTORY_SQL, TIMELINE_SQL, long_history, table, timeline
 
 NOW = 1_706_659_200  # 2024-01-31, within the timeline of events
 LATER = 1_009_843_200  # 2002-01-01, after the long history
+KEPT_EVENTS = 9_500
 PINS = "sequence % 97 = 0"
 
 _RETAINED_SQL = """
@@ -102,15 +103,16 @@ def cursor_codec(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cursor_state(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether cursors are found, given the log's bounds: a cursor before the oldest row has expired."""
-    a = timeline(spark, sf).where("sequence > 500").agg(F.min("sequence").alias("oldest"), F.max("sequence").alias("newest"))
+    """Whether cursors are found in a log that keeps the newest ``KEPT_EVENTS``: a cursor before the oldest of them has expired."""
+    a = timeline(spark, sf).agg(F.min("sequence").alias("least"), F.max("sequence").alias("newest"))
+    a = a.select(F.greatest("least", F.col("newest") - KEPT_EVENTS + 1).alias("oldest"), "newest")
     return a.select("oldest", "newest", F.explode(F.array(*(F.lit(x).cast("long") for x in (0, 400, 500, 501, 900, 10**9)))).alias("cursor")).select(
         "cursor", F.when(F.col("cursor") < F.col("oldest") - 1, "expired").when(F.col("cursor") > F.col("newest"), "unknown").otherwise("found").alias("state")
     )
 
 
 def fork_updates(spark: SparkSession, sf: str) -> DataFrame:
-    t = timeline(spark, sf).where("workspace % 50 = 1").withColumn("snapshot_id", F.sha2(F.col("sequence").cast("string"), 256))
+    t = timeline(spark, sf).withColumn("snapshot_id", F.sha2(F.col("sequence").cast("string"), 256))
     at = t.agg(F.min("sequence")).first()[0] or 0
     import hashlib
 
@@ -234,8 +236,8 @@ QUERIES = {
     "timeline_recent_of_ranges": (recent_of_ranges, f"{_R} SELECT DISTINCT sequence FROM retained ORDER BY 1 DESC LIMIT 50"),
     "log_event_page": (event_page, f"{_T} SELECT sequence, kind, 'family:' || sequence AS cursor FROM timeline WHERE sequence > 1000 ORDER BY sequence LIMIT 100"),
     "log_cursor_codec": (cursor_codec, f"{_T} SELECT sequence, CASE WHEN sequence % 3 <> 0 AND sequence % 5 <> 0 THEN sequence END AS parsed FROM timeline"),
-    "log_cursor_state": (cursor_state, f"{_T}, b AS (SELECT min(sequence) AS lo, max(sequence) AS hi FROM timeline WHERE sequence > 500) SELECT c::BIGINT AS cursor, CASE WHEN c < lo - 1 THEN 'expired' WHEN c > hi THEN 'unknown' ELSE 'found' END AS state FROM b, unnest([0, 400, 500, 501, 900, 1000000000]) AS t(c)"),
-    "log_fork_updates": (fork_updates, f"{_T} SELECT sequence, kind, true AS cursor_found FROM timeline WHERE workspace % 50 = 1 AND sequence > (SELECT min(sequence) FROM timeline WHERE workspace % 50 = 1) ORDER BY sequence LIMIT 5"),
+    "log_cursor_state": (cursor_state, f"{_T}, b AS (SELECT greatest(min(sequence), max(sequence) - {KEPT_EVENTS} + 1) AS lo, max(sequence) AS hi FROM timeline) SELECT c::BIGINT AS cursor, CASE WHEN c < lo - 1 THEN 'expired' WHEN c > hi THEN 'unknown' ELSE 'found' END AS state FROM b, unnest([0, 400, 500, 501, 900, 1000000000]) AS t(c)"),
+    "log_fork_updates": (fork_updates, f"{_T} SELECT sequence, kind, true AS cursor_found FROM timeline WHERE sequence > (SELECT min(sequence) FROM timeline) ORDER BY sequence LIMIT 5"),
     "log_positional_get": (positional_get, f"{_T} SELECT sequence, workspace, kind FROM timeline WHERE sequence BETWEEN 0 AND 399 AND sequence % 7 = 0"),
     "log_last_match": (last_match, f"{_T} SELECT kind, arg_max(workspace, sequence) AS workspace, max(sequence) AS sequence FROM timeline WHERE k % 2 = 0 GROUP BY 1"),
     "gc_byte_masks": (byte_masks, f"{_T} SELECT (CASE WHEN sequence % 211 = 0 OR age < 0 THEN 255 ELSE 71 + CASE WHEN age <= 2592000 THEN 32 ELSE 0 END + CASE WHEN age <= 259200 THEN 24 ELSE 0 END + CASE WHEN age <= 86400 THEN 128 ELSE 0 END END)::INT AS mask, count(*) AS n, min(sealed_at) AS oldest FROM (SELECT *, {NOW} - sealed_at AS age FROM timeline) GROUP BY 1"),
