@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from tokenizers import Tokenizer
 
-CACHE = 1_500_000  # remembered pieces; beyond it the cache starts anew
+CACHE = 250_000  # remembered pieces, some 50 MB in each worker; beyond it the cache starts anew
 
 # The tokenizer lower-cases, splits runs of letters, single digits and runs of other
 # characters, and never joins across white space, so a text's ids are those of its pieces.
