@@ -7,8 +7,10 @@ ln a = ln c - r (t - beta + 1), and the term of least a, with its t, is the
 sample.  Two texts draw the same sample with the probability of their
 generalised Jaccard similarity, sum of least by sum of greatest weights.
 
-The triples are 65,536 fixed draws, taken by sixteen bits of the term's hash for
-that sample; further sixteen bits order terms of equal a.
+A term's 64 hash bits for a sample give three independent exponential draws e, f
+and g: with c = e + f, r = ln(c / e) + g and beta = g / r these are the
+distributions above, and a is e at weight 1.  So terms of weight 1 are compared by
+their hash bits alone, and heavier ones by ln a in double precision.
 """
 
 from __future__ import annotations
@@ -28,38 +30,51 @@ SAMPLES, RUN = 64, 3
 PARTITION_ROWS, MOST_PARTITIONS = 4000, 20_000
 
 _rng = np.random.default_rng(5150)
-_R = _rng.gamma(2.0, 1.0, 1 << 16)
-_LN_C = np.log(_rng.gamma(2.0, 1.0, 1 << 16))
-_BETA = _rng.random(1 << 16)
-_LN_A1 = _LN_C - _R * (1.0 - _BETA)  # ln a of weight 1, where t is 0
-_SORTED_A1 = np.sort(_LN_A1)
-_RANK1 = (np.argsort(np.argsort(_LN_A1)).astype(np.uint32) << np.uint32(16)).astype(np.uint32)
-_ODD = _rng.integers(1, 2**32, SAMPLES, dtype=np.uint32) | np.uint32(1)
+_ODD = _rng.integers(1, 2**63, SAMPLES, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 _SAMPLE_SALT = _rng.integers(1, 2**63, SAMPLES, dtype=np.uint64)
+_F_SALT, _G_SALT = _rng.integers(1, 2**63, 2, dtype=np.uint64)
+BLOCK = 2048  # terms hashed at a time, for all samples
 FIRST, LAST = "1 first", "2 last"  # of a stretch, in the order of sorting
 EMPTY = np.zeros(SAMPLES, dtype=np.uint16)
 
 
+def _exponential(bits: np.ndarray) -> np.ndarray:
+    return -np.log1p(-(bits.astype(np.float64) + 0.5) * 2.0**-64 * (1 - 2.0**-53))
+
+
+def _least_heavy(terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Least ln a of each sample, its term and its t."""
+    x = terms[None, :] * _ODD[:, None]
+    e, f, g = _exponential(x), _exponential(mix(x ^ _F_SALT)), _exponential(mix(x ^ _G_SALT))
+    ln_c = np.log(e + f)
+    r = ln_c - np.log(e) + g
+    beta = g / r
+    t = np.floor(np.log(weights)[None, :] / r + beta)
+    ln_a = ln_c - r * (t - beta + 1.0)
+    best = ln_a.argmin(axis=1)
+    own = np.arange(SAMPLES), best
+    return ln_a[own], terms[best], t[own]
+
+
 def weighted_samples(terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Sixteen bits for each sample of a set of distinct term hashes with positive integer weights."""
     if not len(terms):
         return EMPTY
-    x = (terms >> np.uint64(32)).astype(np.uint32)[None, :] * _ODD[:, None]
-    key = _RANK1[x >> np.uint32(16)] | (x & np.uint32(0xFFFF))
-    heavy = np.flatnonzero(weights > 1)
-    if len(heavy):
-        i = x[:, heavy] >> np.uint32(16)
-        r, beta = _R[i], _BETA[i]
-        t = np.floor(np.log(weights[heavy])[None, :] / r + beta)
-        rank = np.minimum(np.searchsorted(_SORTED_A1, _LN_C[i] - r * (t - beta + 1.0)), 65535).astype(np.uint32)
-        key[:, heavy] = (rank << np.uint32(16)) | (x[:, heavy] & np.uint32(0xFFFF))
-    best = key.argmin(axis=1)
-    level = np.zeros(SAMPLES, dtype=np.uint64)
-    if len(heavy):
-        place = np.searchsorted(heavy, best)
-        own = np.flatnonzero((place < len(heavy)) & (heavy[np.minimum(place, len(heavy) - 1)] == best))
-        level[own] = t[own, place[own]].astype(np.uint64)
-    return (mix(terms[best] ^ _SAMPLE_SALT ^ (level * np.uint64(0x9E3779B97F4A7C15))) >> np.uint64(48)).astype(np.uint16) | np.uint16(1)
+    least, best, level = np.full(SAMPLES, np.inf), np.zeros(SAMPLES, dtype=np.uint64), np.zeros(SAMPLES, dtype=np.uint64)
+    heavy = weights > 1
+    light, heavy, weights = terms[~heavy], terms[heavy], weights[heavy]
+    for at in range(0, len(light), BLOCK):
+        part = light[at : at + BLOCK]
+        x = part[None, :] * _ODD[:, None]
+        i = x.argmin(axis=1)
+        ln_a = np.log(_exponential(x[np.arange(SAMPLES), i]))
+        less = ln_a < least
+        least[less], best[less] = ln_a[less], part[i[less]]
+    for at in range(0, len(heavy), BLOCK):
+        ln_a, term, t = _least_heavy(heavy[at : at + BLOCK], weights[at : at + BLOCK])
+        less = ln_a < least
+        least[less], best[less], level[less] = ln_a[less], term[less], t[less].astype(np.uint64)
+    return (mix(best ^ _SAMPLE_SALT ^ (level * np.uint64(0x9E3779B97F4A7C15))) >> np.uint64(48)).astype(np.uint16) | np.uint16(1)
 
 
 def fingerprints(column: pa.Array) -> np.ndarray:

@@ -88,6 +88,17 @@ def test_samples_collide_as_often_as_weights_overlap():
     assert np.std(error) < 0.08
 
 
+@pytest.mark.parametrize(("top", "singles", "weight"), [(50_000, 20_000, 1), (500_000, 2_000, 100), (300_000, 300, 300), (1, 100_000, 1)])
+def test_fingerprints_of_great_and_uneven_weights(top, singles, weight):
+    rng = np.random.default_rng(top)
+    w = np.array([top] + [weight] * singles)
+    near = []
+    for _ in range(25):
+        t = rng.integers(1, 2**63, 2 * singles + 1, dtype=np.uint64)
+        near.append(P.likeness(P.weighted_samples(t[: singles + 1], w), P.weighted_samples(np.append(t[:1], t[singles + 1 :]), w)))
+    assert np.mean(near) == pytest.approx(top / (top + 2 * singles * weight), abs=0.05)
+
+
 def test_fingerprints_follow_the_order_of_ids(spark, monkeypatch):
     monkeypatch.setattr(P, "PARTITION_ROWS", 5)
     rng = random.Random(2)
