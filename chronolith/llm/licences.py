@@ -90,6 +90,8 @@ OTHER: tuple[str, ...] = (  # licence wording of no family above
     "Licensed under the terms of the vendor agreement.", "Use of this software is subject to the enclosed end user license agreement.",
     "Released under a custom community license.", "This work is licensed under the terms stated by its owner.",
     "SPDX-License-Identifier: LicenseRef-Proprietary", "Distributed under the Example Public License, version 1.",
+    "All rights reserved.", "All rights reserved worldwide.", "Copyright by the author. All rights reserved.", "Copyright (c) the authors and contributors. All rights reserved.", "Proprietary and confidential.", "Unauthorized copying of this file is strictly prohibited.",
+    "No license is granted to use or copy this work.", "May not be reproduced or redistributed without permission.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
 )
 ORDINARY: tuple[str, ...] = (
     "The driver showed his license to the officer and went on.", "She studied at MIT and works for a public library.", "The general said the public would be free to enter.",
@@ -97,11 +99,13 @@ ORDINARY: tuple[str, ...] = (
     "Creative people are common in the city, and commons are free.", "The following conditions are met in most forms of the disease.", "He was granted permission to obtain a copy of the file.",
     "An apache helicopter flew over the village at two.", "International trade under new terms is subject to change.", "This is the version of the story that I know.",
     "The software is easy to use and the documentation is good.", "With or without sugar, both forms are permitted here.", "Attribution of the painting is not certain.", "by and of the in to a is that it for on with as this was",
+    "mit dem und der mit einer von den mit mit das ist nicht mit im", "All the rights of the people were reserved for the king and the rest of them.", "He reserved a table for all of us on the right.", "The copyright of the song was sold by the author to a company.", "Two seats are reserved and the others are free.",
+    "Copying the file takes a minute and no permission.", "The reserved man kept the confidential letter and was granted a fee.", "Any purpose is as good as this one, with or without a reason.",
 )
 
 BITS, RUNS = 22, (1, 2, 3)
 STEPS, RIDGE, VARIANTS = 150, 1e-3, 12
-SURE, CONFIRMED, LICENCE_LIKE = 0.6, 0.5, 0.3  # least calibrated probability, and least share of a template's word pairs in the paragraph, for a family and for unknown
+SURE, CONFIRMED = 0.6, 0.5  # least calibrated probability of a family, and least share of a template's word pairs in the paragraph
 UNKNOWN, NONE = "unknown", "none"
 _U = np.uint64
 _MULTIPLIERS = np.random.default_rng(31).integers(1, 2**63, (4, 4), dtype=np.uint64) | _U(1)
@@ -142,7 +146,7 @@ class Scanner:
     pairs: dict[str, list[np.ndarray]]
 
     def sums(self, words: np.ndarray, line: np.ndarray, lines: int) -> np.ndarray:
-        """Logits of consecutive lines; ``line`` is the line of each word."""
+        """Logits of consecutive lines; ``line`` is the line of each word.  A feature counts once in a line."""
         out = np.zeros((lines, len(self.classes)))
         for k in RUNS:
             h = runs(words, k)
@@ -150,7 +154,8 @@ class Scanner:
                 continue
             at = np.minimum(np.searchsorted(self.features, h), len(self.features) - 1)
             hit = np.flatnonzero((self.features[at] == h) & (line[: len(h)] == line[k - 1 :]))
-            np.add.at(out, line[hit], self.weights[at[hit]])
+            once = np.unique(line[hit] * len(self.features) + at[hit])
+            np.add.at(out, once // len(self.features), self.weights[once % len(self.features)])
         return out + self.bias
 
     def probabilities(self, logits: np.ndarray) -> np.ndarray:
@@ -163,17 +168,25 @@ class Scanner:
         own = np.unique(runs(words, 2) if len(words) > 1 else words)
         return max(float(np.isin(t, own).mean()) for t in self.pairs[family])
 
+    def likeness(self, words: np.ndarray) -> float:
+        """Largest overlap with any template: common word pairs by the fewer of the two sides."""
+        own = np.unique(runs(words, 2) if len(words) > 1 else words)
+        return max(float(np.isin(t, own).sum()) / min(len(t), len(own)) for f in self.pairs for t in self.pairs[f])
+
     def decide(self, probability: np.ndarray, words: np.ndarray) -> tuple[str, float, float]:
-        """(family, unknown or none; its probability; template similarity) of one paragraph."""
-        k = int(probability.argmax())
+        """(family, unknown or none; its probability; template similarity) of one paragraph.
+
+        What is more probably licence wording than ordinary text is a family if its templates confirm it, and unknown if not.
+        """
+        ordinary = self.classes.index(NONE)
+        if probability[ordinary] >= 0.5:
+            return NONE, float(probability[ordinary]), 0.0
+        k = int(np.delete(probability, ordinary).argmax())  # the last class is none
         name = self.classes[k]
-        if name == NONE:
-            return NONE, float(probability[k]), 0.0
         near = self.similarity(name, words)
         if name != UNKNOWN and near >= CONFIRMED and probability[k] >= SURE:
             return name, float(probability[k]), near
-        near = max(self.similarity(f, words) for f in self.pairs)
-        return UNKNOWN if near >= LICENCE_LIKE else NONE, float(probability[k]), near
+        return UNKNOWN, float(1 - probability[ordinary]), self.likeness(words)
 
 
 def _variants(text: str, rng: np.random.Generator) -> list[str]:
@@ -203,7 +216,7 @@ def train() -> Scanner:
     features = np.unique(np.concatenate(each))
     x = np.zeros((len(texts), len(features)), dtype=np.float64)
     for i, f in enumerate(each):
-        np.add.at(x[i], np.searchsorted(features, f), 1.0)
+        x[i, np.searchsorted(features, f)] = 1.0
     held = np.arange(len(texts)) % 4 == 3
     target = np.eye(len(classes))[y]
     w, b = np.zeros((len(features), len(classes))), np.zeros(len(classes))
@@ -240,7 +253,7 @@ def scan_texts(scanner: Scanner, texts: pa.Array) -> Iterator[tuple[int, int, st
         line = np.repeat(np.arange(last - first), n)
         p = scanner.probabilities(scanner.sums(h, line, last - first))
         ends = np.cumsum(n)
-        for k in np.flatnonzero((p.argmax(axis=1) != ordinary) & (n > 0)).tolist():
+        for k in np.flatnonzero((p[:, ordinary] < 0.5) & (n > 0)).tolist():
             name, probability, near = scanner.decide(p[k], h[ends[k] - n[k] : ends[k]])
             if name != NONE:
                 yield int(parent[first + k]), int(number[first + k]), name, probability, near

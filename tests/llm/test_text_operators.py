@@ -117,6 +117,18 @@ def test_licences(spark):
     assert {r.doc_id: r.licences for r in licences.document_licences(d).collect()} == want
 
 
+def test_short_notices_are_unknown_licences(spark):
+    notices = ["All rights reserved.", "Copyright (c) 2019 Jane Doe. All rights reserved.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"]
+    ordinary = ["He said all rights were reserved for the king", "and " * 5_000, "mit " * 5_000, "the license plate of the driver"]
+    docs = spark.createDataFrame(list(enumerate(notices + ordinary)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_paragraphs, r.n_unknown, r.licences) for r in licences.document_licences(docs).collect())
+    assert got == [(i, i < 3, i < 3, "") for i in range(7)]
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = {r.doc_id: sum("All rights reserved." in x for x in r.text.split("\n")) for r in d.collect()}
+    assert sum(want.values()) == 7
+    assert {r.doc_id: r.n_unknown for r in licences.document_licences(d).collect()} == want
+
+
 def test_languages(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {r.doc_id: r for r in language.identify(d).collect()}
