@@ -1,6 +1,10 @@
 """Licence scans: a trained paragraph classifier, an unknown class, and templates that confirm.
 
-A paragraph is a line.  Its features are hashed runs of one to three words; a
+A paragraph is a run of non-blank lines.  Its lines are scored one by one, long
+ones in windows, and so is every stretch, across line ends, that holds enough of
+a template's word pairs; of stretches that overlap, the best confirmed one counts.
+
+The features of a stretch are hashed runs of one to three words; a
 multinomial logistic regression on the features that occur in the templates
 tells licence families, other licence wording and ordinary text apart.  The
 temperature is calibrated on variants that were left out of training; a family
@@ -11,6 +15,7 @@ objects for words.
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -106,6 +111,9 @@ ORDINARY: tuple[str, ...] = (
 BITS, RUNS = 22, (1, 2, 3)
 STEPS, RIDGE, VARIANTS = 150, 1e-3, 12
 SURE, CONFIRMED = 0.6, 0.5  # least calibrated probability of a family, and least share of a template's word pairs in the paragraph
+LONG, WINDOW, STRIDE = 64, 32, 16  # words: a line beyond LONG is scored in windows
+SLACK = 1.3  # a stretch may be longer than its template by this
+ROWS = 100  # texts scanned at a time
 UNKNOWN, NONE = "unknown", "none"
 _U = np.uint64
 _MULTIPLIERS = np.random.default_rng(31).integers(1, 2**63, (4, 4), dtype=np.uint64) | _U(1)
@@ -168,6 +176,11 @@ class Scanner:
         own = np.unique(runs(words, 2) if len(words) > 1 else words)
         return max(float(np.isin(t, own).mean()) for t in self.pairs[family])
 
+    def closeness(self, family: str, words: np.ndarray) -> float:
+        """Largest share that common word pairs have of all pairs of the paragraph and a template of the family."""
+        own = np.unique(runs(words, 2) if len(words) > 1 else words)
+        return max(len(np.intersect1d(t, own)) / len(np.union1d(t, own)) for t in self.pairs[family])
+
     def likeness(self, words: np.ndarray) -> float:
         """Largest overlap with any template: common word pairs by the fewer of the two sides."""
         own = np.unique(runs(words, 2) if len(words) > 1 else words)
@@ -243,20 +256,106 @@ def train() -> Scanner:
     return Scanner(classes, features, w, b, temperature, pairs)
 
 
-def scan_texts(scanner: Scanner, texts: pa.Array) -> Iterator[tuple[int, int, str, float, float]]:
-    """(row, line number, family or unknown, probability, template similarity) of each paragraph that is licence wording."""
+def _line_spans(start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of lines with words, of long ones in windows."""
+    short, long_ = np.flatnonzero((n > 0) & (n <= LONG)), np.flatnonzero(n > LONG)
+    first, last = [start[short]], [start[short] + n[short]]
+    for k in long_.tolist():
+        at = np.append(np.arange(0, n[k] - WINDOW, STRIDE), n[k] - WINDOW)
+        first.append(start[k] + at)
+        last.append(start[k] + at + WINDOW)
+    return np.concatenate(first), np.concatenate(last)
+
+
+def _template_spans(scanner: Scanner, words: np.ndarray, paragraph: np.ndarray) -> list[tuple[int, int]]:
+    """Stretches inside a paragraph with ``CONFIRMED`` of a template's word pairs, from the first of these to the last; of templates of a few words, all pairs."""
+    h = runs(words, 2)
+    templates = [t for f in scanner.pairs for t in scanner.pairs[f]]
+    known = np.unique(np.concatenate(templates))
+    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    hits = np.flatnonzero((known[at] == h) & (paragraph[:-1] == paragraph[1:])) if len(h) else np.zeros(0, dtype=np.int64)
+    found = set()
+    for t in templates:
+        least, most = int(np.ceil(CONFIRMED * len(t))) if len(t) > 3 else len(t), int(SLACK * len(t)) + 1
+        q = hits[np.isin(h[hits], t)]
+        if len(q) < least:
+            continue
+        near = (q[least - 1 :] - q[: len(q) - least + 1] < most) & (paragraph[q[least - 1 :]] == paragraph[q[: len(q) - least + 1]])
+        best: tuple[int, int, int] | None = None
+        for i in np.flatnonzero(near).tolist():
+            part = q[i : np.searchsorted(q, q[i] + most)]
+            part = part[paragraph[part] == paragraph[q[i]]]
+            new = np.unique(h[part], return_index=True)[1]  # what only repeats pairs is no part of the stretch
+            size, first, last = len(new), int(part[0]), int(part[new.max()]) + 2
+            if size < least:
+                continue
+            if best is None or first >= best[2] or (size, first - last) > (best[0], best[1] - best[2]):
+                found.update([best[1:]] if best else [])
+                best = size, first, last
+        if best:
+            found.add(best[1:])
+    return sorted(found)
+
+
+def _best(spans: list[tuple]) -> list[tuple]:
+    """Of (start, end, name, probability, similarity, closeness) that overlap only the best: families before unknown, by closeness and length."""
+    taken: list[tuple] = []
+    starts: list[int] = []
+    for s in sorted(spans, key=lambda s: (s[2] == UNKNOWN, -s[5], s[0] - s[1], -s[3], s[0])):
+        i = bisect(starts, s[0])
+        if (i and taken[i - 1][1] > s[0]) or (i < len(taken) and taken[i][0] < s[1]):
+            continue
+        starts.insert(i, s[0])
+        taken.insert(i, s)
+    return taken
+
+
+def _scan(scanner: Scanner, texts: pa.Array) -> Iterator[tuple[int, int, str, float, float]]:
     parts = pc.split_pattern(texts.cast(pa.large_string()), "\n")
     parent = np.asarray(pc.list_parent_indices(parts)).astype(np.int64)
     number = np.arange(len(parent)) - np.searchsorted(parent, parent)
-    ordinary = scanner.classes.index(NONE)
-    for first, last, h, n in word_hashes(_plain(parts.flatten())):
-        line = np.repeat(np.arange(last - first), n)
-        p = scanner.probabilities(scanner.sums(h, line, last - first))
-        ends = np.cumsum(n)
-        for k in np.flatnonzero((p[:, ordinary] < 0.5) & (n > 0)).tolist():
-            name, probability, near = scanner.decide(p[k], h[ends[k] - n[k] : ends[k]])
-            if name != NONE:
-                yield int(parent[first + k]), int(number[first + k]), name, probability, near
+    pieces = [(h, n) for _, _, h, n in word_hashes(_plain(parts.flatten()))]
+    if not pieces:
+        return
+    words, n = (np.concatenate(x) for x in zip(*pieces, strict=True))
+    start = np.cumsum(n) - n
+    line = np.repeat(np.arange(len(n)), n)
+    blank = np.asarray(pc.equal(pc.utf8_trim_whitespace(parts.flatten()), "").fill_null(True))
+    paragraph = np.cumsum(blank | np.append(True, parent[1:] != parent[:-1]))[line]
+    first, last = _line_spans(start, n)
+    more = _template_spans(scanner, words, paragraph)
+    if more:
+        first, last = np.append(first, [s for s, _ in more]), np.append(last, [e for _, e in more])
+    ordinary, found = scanner.classes.index(NONE), []
+    if not len(first):
+        return
+    size = np.cumsum(last - first)
+    cuts = np.searchsorted(size, np.arange(0, size[-1], 1 << 15))
+    for lo, hi in zip(cuts, [*cuts[1:], len(size)], strict=True):
+        if lo == hi:
+            continue
+        length = last[lo:hi] - first[lo:hi]
+        of = np.repeat(np.arange(hi - lo), length)
+        at = np.arange(len(of)) - np.repeat(np.cumsum(length) - length, length) + first[lo:hi][of]
+        p = scanner.probabilities(scanner.sums(words[at], of, hi - lo))
+        for k in np.flatnonzero(p[:, ordinary] < 0.5).tolist():
+            s, e = int(first[lo + k]), int(last[lo + k])
+            name, *rest = scanner.decide(p[k], words[s:e])
+            found.append((s, e, name, *rest, scanner.closeness(name, words[s:e])))
+    before = (-1, 0, "")  # line, end, name
+    for s, e, name, probability, near, _ in _best(found):
+        one = n[line[s]] > LONG and before[0] == line[s] and before[2] == name == UNKNOWN and s - before[1] <= STRIDE  # windows of one long notice
+        before = (int(line[s]), e, name)
+        if one:
+            continue
+        yield int(parent[line[s]]), int(number[line[s]]), name, probability, near
+
+
+def scan_texts(scanner: Scanner, texts: pa.Array) -> Iterator[tuple[int, int, str, float, float]]:
+    """(row, line number, family or unknown, probability, template similarity) of each stretch that is licence wording; the line is its first."""
+    for at in range(0, len(texts), ROWS):
+        for row, *rest in _scan(scanner, texts.slice(at, ROWS)):
+            yield (at + row, *rest)
 
 
 def licence_paragraphs(docs: DataFrame) -> DataFrame:

@@ -129,6 +129,18 @@ def test_short_notices_are_unknown_licences(spark):
     assert {r.doc_id: r.n_unknown for r in licences.document_licences(d).collect()} == want
 
 
+def test_licences_across_line_ends_and_inside_long_lines(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:"
+    before, after = "filler words of a story that goes on " * 300, " and so the story goes on with more words" * 300
+    flat = {k: before + v.replace("\n", " ").replace("#", "") + after for k, v in {"gpl": gpl, "bsd": bsd, "": "All rights reserved."}.items()}
+    texts = ["Head\n" + gpl, bsd, gpl + "\n\n" + bsd, flat["gpl"], flat["bsd"], flat[""], "She will defend all rights of the workers", before + after, gpl + "\nReleased under the MIT License.\n" + gpl]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_paragraphs, r.n_unknown, r.licences) for r in licences.document_licences(docs).collect())
+    assert got == [(0, 1, 0, "gpl"), (1, 1, 0, "bsd"), (2, 2, 0, "bsd,gpl"), (3, 1, 0, "gpl"), (4, 1, 0, "bsd"), (5, 1, 1, ""), (6, 0, 0, ""), (7, 0, 0, ""), (8, 3, 0, "gpl,mit")]
+    assert [(r.doc_id, r.line) for r in licences.licence_paragraphs(docs.where("doc_id = 0")).collect()] == [(0, 1)]
+
+
 def test_languages(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {r.doc_id: r for r in language.identify(d).collect()}
