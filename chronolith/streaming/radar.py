@@ -15,8 +15,10 @@ GAP = "1 hour"
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 64).parquet(f"{sf_dir}/event[s].parquet")  # a pattern, as the table may be one file
+def event_stream(spark: SparkSession, sf_dir: str, files: int | None = 64) -> DataFrame:
+    """Events in batches of at most so many files; None is one batch of all that is there."""
+    reader = spark.readStream.schema(EVENTS)
+    e = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(f"{sf_dir}/event[s].parquet")  # a pattern, as the table may be one file
     k = F.coalesce(F.get_json_object("props", "$.k").cast("int"), F.lit(-1))
     return e.select(F.col("event_id").alias("sequence"), F.col("ts").cast("timestamp").alias("at"), F.col("user_id").alias("workspace"), F.col("event_type").alias("kind"), k.alias("k"))
 
@@ -67,7 +69,8 @@ def transitions(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) ->
 
 
 def conflict_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = event_stream(spark, sf_dir).select("k", "sequence", "workspace", "kind")
+    """Rows of a path in the order of their sequence, which files may interleave: so all files are one batch."""
+    s = event_stream(spark, sf_dir, files=None).select("k", "sequence", "workspace", "kind")
     t = s.groupBy("k").applyInPandasWithState(transitions, "k int, sequence long, state string, forks long", "forks array<long>", "append", GroupStateTimeout.NoTimeout)
     return drained(t, "append")
 

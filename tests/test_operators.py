@@ -174,3 +174,15 @@ def test_ndjson_keeps_corrupt_lines_apart(spark, tmp_path):
     r = S.read_ndjson(spark, str(tmp_path / "o"), "n long, s string")
     assert r.where("_corrupt IS NULL").count() == 2
     assert r.cache().where("_corrupt IS NOT NULL").count() == 1
+
+
+def test_conflict_states_do_not_depend_on_the_number_of_files(spark, tmp_path):
+    from chronolith.streaming import radar
+
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    one, many = str(tmp_path / "one"), str(tmp_path / "many")
+    e.coalesce(1).write.parquet(f"{one}/events.parquet")
+    e.repartition(70, "event_id").write.parquet(f"{many}/events.parquet")
+    assert len(list((tmp_path / "many" / "events.parquet").glob("*.parquet"))) > 64
+    states = [sorted(map(tuple, radar.conflict_states(spark, d).collect())) for d in (one, many)]
+    assert states[0] == states[1] and states[0]
