@@ -40,7 +40,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     size = max(BLOCK_BYTES * 2, 1 << (n + 1).bit_length())
     if size not in _powers:
         _powers.clear()
@@ -66,7 +66,7 @@ def _hash_piece(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndar
     cut_ends = cuts[(cuts > 0) & (cuts <= n)]
     ends[cut_ends] = solid[cut_ends - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends)
-    up, down = _power_tables(n)
+    up, down = power_tables(n)
     total = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(_BYTE[data] * up[:n], out=total[1:])
     h = (total[end] - total[start]) * down[start]

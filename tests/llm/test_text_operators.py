@@ -3,10 +3,12 @@
 import random
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from chronolith.llm import html_text as H
-from chronolith.llm import language, licences, line_dedup, queries
+from chronolith.llm import language, licences, line_dedup, queries, scratch
 from chronolith.llm import quality as Q
 from tests.oracle import connect, same
 
@@ -49,16 +51,20 @@ def test_quality_edge_rows(spark):
     assert Q.score_documents(docs.limit(0), none).count() == 0
 
 
+def one_edit(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) <= 1
+    s, t = sorted((a, b), key=len)
+    return len(t) - len(s) == 1 and any(t[:i] + t[i + 1 :] == s for i in range(len(t)))
+
+
 def brute_lines(rows):
     def near(a, b):
         if a == b:
             return True
-        if min(len(a), len(b)) < line_dedup.MIN_WORDS or abs(len(a) - len(b)) > 1:
-            return False
-        if len(a) == len(b):
-            return sum(x != y for x, y in zip(a, b, strict=True)) == 1
-        s, t = sorted((a, b), key=len)
-        return any(t[:i] + t[i + 1 :] == s for i in range(len(t)))
+        s, t = " ".join(a), " ".join(b)
+        by_words = min(len(a), len(b)) >= line_dedup.MIN_WORDS and one_edit(a, b)
+        return by_words or max(len(a), len(b)) <= line_dedup.CHAR_WORDS and min(len(s), len(t)) >= line_dedup.MIN_CHARS and one_edit(s, t)
 
     first, out = {}, {}
     for i, text in sorted(rows):
@@ -76,9 +82,9 @@ def brute_lines(rows):
     return out
 
 
-@pytest.mark.parametrize("limit", [line_dedup.BROADCAST_ROWS, 0])
-def test_lines_match_brute_force(spark, monkeypatch, limit):
-    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", limit)
+@pytest.mark.parametrize("hot", [scratch.HOT_ROWS, 2])
+def test_lines_match_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(scratch, "HOT_ROWS", hot)
     rng = random.Random(6)
     vocabulary = "a b c d e f g h".split()
     lines = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 14))) for _ in range(25)]
@@ -87,19 +93,40 @@ def test_lines_match_brute_force(spark, monkeypatch, limit):
         k = rng.randrange(len(w))
         w[k : k + rng.randint(0, 1)] = [rng.choice(vocabulary + ["A", "z"])] * rng.randint(0, 2)
         lines.append(" ".join(w))
-    rows = [(i, "\n".join(rng.choice(["", *lines]) for _ in range(rng.randint(0, 8)))) for i in range(70)]
+    for _ in range(200):
+        w = rng.choice(["Äpfel und Birnen liegen im Korb", "scriptwithoutspacesgoesonandon", *(x for x in lines if len(x) > 15)])
+        k = rng.randrange(len(w))
+        lines.append(w[:k] + rng.choice(["", "é", " ", w[k : k + 1] + "x"]) + w[k + rng.randint(0, 1) :])
+    rows = [(i, "\n".join(rng.choice(["", *lines]) for _ in range(rng.randint(0, 12)))) for i in range(70)]
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r.doc_id: r.text for r in got.collect()} == brute_lines(rows)
 
 
 def test_line_edge_rows(spark):
     rows = [(2, "x y\n\nx y", 9, 1), (1, "x y", 3, 1), (1, "x y", 3, 1), (3, None, None, 1), (None, "x y", 3, 1), (4, "", 0, 1), (5, "q" * 300_000 + "\nx  Y", 0, 1)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, gone int").select("doc_id", "text", "n_chars")
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, gone int")
     got = sorted((r.doc_id or 0, r.text, r.n_lines, r.n_dropped, r.n_chars) for r in line_dedup.dedup_lines(df).collect() if r.text is None or len(r.text) < 99)
     assert got == [(0, "x y", 1, 0, 3), (1, "x y", 1, 0, 3), (1, "x y", 1, 0, 3), (2, "", 3, 2, 0), (3, None, 0, 0, None), (4, "", 1, 0, 0)]
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_one_line_of_many_words_takes_memory_in_proportion(spark):
+    """Two near lines of 20,000 words, and two of 100,000 characters without a space."""
+    import tracemalloc
+
+    rng = random.Random(4)
+    w = [f"w{rng.randrange(10**6)}" for _ in range(20_000)]
+    long = "".join(rng.choice("abcdefgh") for _ in range(100_000))
+    rows = [(1, " ".join(w)), (2, " ".join([*w[:9_000], "other", *w[9_001:]])), (3, long), (4, long[:70_000] + "x" + long[70_000:]), (5, " ".join(reversed(w)))]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_dropped) for r in got) == [(1, 0), (2, 1), (3, 0), (4, 1), (5, 0)]
+    tracemalloc.start()
+    made = sum(len(key) for key, *_ in line_dedup._neighbours(pa.array([rows[0][1]]), np.array([15]), np.array([7])))
+    assert made == 40_001
+    assert tracemalloc.get_traced_memory()[1] < 40 << 20
+    tracemalloc.stop()
+
+
 def test_line_query_matches_sql(spark):
     same(queries.op6_line_dedup(spark, SF), connect(SF), queries.ORACLES["op6_line_dedup"])
 
