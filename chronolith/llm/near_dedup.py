@@ -32,13 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import keyed_side, materialize
+from .scratch import hot_join, keyed_side, materialize
 from .words import mix, shingle_sets
 
 BUCKETS, BANDS, MANTISSA = 128, 32, 10
 ROWS = BUCKETS // BANDS
 ESTIMATE_FLOOR = 0.56  # 0.75 less five standard deviations of a 128-register estimate
-BLOCK = 2048  # documents of one bucket that are compared in one task; larger buckets are dealt out as pairs of blocks
+SMALL = 128  # sets of at most so many shingles are verified whatever the estimate: few elements make it coarse, and they are quick to compare
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 21  # documents and shingles of one bucket that are held on a side in one task; larger buckets are dealt out as pairs of blocks
 STAR = 2000  # members that are verified against one copy of the hub's text
 _VALUE_BITS = 64 - 7
 _U = np.uint64
@@ -87,6 +88,11 @@ def estimate(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray) -> np
     return ((a == b).mean(axis=-1) - chance) / (1.0 - chance)
 
 
+def _worth(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Which pairs of sketches, of sets of n and m shingles, are to be verified."""
+    return (np.minimum(n, m) <= SMALL) | (estimate(a, b, levels(n), levels(m)) >= ESTIMATE_FLOOR)
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether 100 * intersection >= percent * union, for sorted distinct arrays."""
     n, m = len(a), len(b)
@@ -126,8 +132,8 @@ def _estimate_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         if not len(batch):
             continue
         a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint16).reshape(-1, BUCKETS) for k in (2, 3))
-        keep = estimate(a, b, levels(batch.column(4)), levels(batch.column(5))) >= ESTIMATE_FLOOR
-        yield batch.select([0, 1]).filter(pa.array(keep))
+        n, m = np.asarray(batch.column(4)), np.asarray(batch.column(5))
+        yield batch.select([0, 1]).filter(pa.array(_worth(a, b, n, m)))
 
 
 def _star_batches(batches: Iterator[pa.RecordBatch], shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -180,7 +186,7 @@ def _left_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(other):
                 other = other[~(own[other, :band] == own[x, :band]).any(axis=1)]  # another bucket joined them before
             if len(other):
-                other = other[estimate(reg[other], reg[x], level[other], level[x]) >= ESTIMATE_FLOOR]
+                other = other[(np.minimum(n[other], n[x]) <= SMALL) | (estimate(reg[other], reg[x], level[other], level[x]) >= ESTIMATE_FLOOR)]
                 wanted[other] = True
                 wanted[x] |= len(other) > 0
         k = int(wanted.sum())
@@ -207,10 +213,11 @@ def _verify_groups(batches: Iterator[pa.RecordBatch], shingle: int, percent: int
                 c = up[c]
             return c
 
-        reg, level = np.array([x[1] for x in sets]), levels(np.array([len(x[0]) for x in sets]))
+        size = np.array([len(x[0]) for x in sets])
+        reg, level = np.array([x[1] for x in sets]), levels(size)
         a, b = [], []
         for x in range(len(nodes)):
-            near = x + 1 + np.flatnonzero(estimate(reg[x + 1 :], reg[x], level[x + 1 :], level[x]) >= ESTIMATE_FLOOR)
+            near = x + 1 + np.flatnonzero((np.minimum(size[x + 1 :], size[x]) <= SMALL) | (estimate(reg[x + 1 :], reg[x], level[x + 1 :], level[x]) >= ESTIMATE_FLOOR))
             for y in near.tolist():
                 if (blocks[x] != blocks[y] or i == j) and top(comps[x]) != top(comps[y]) and linked(sets[x][0], sets[y][0], percent):
                     up[top(comps[x])] = top(comps[y])
@@ -239,22 +246,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75) -> Dat
     sketched = docs.mapInArrow(lambda it: _sketch_batches(it, shingle), "doc_id long, n_shingles long, c1 long, c2 long, registers binary")
     sketched = materialize(sketched, "sketches")
     filled = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = materialize(filled.groupBy("c1", "c2").agg(F.min("doc_id").alias("node")), "classes")
+    classes = materialize(filled.groupBy("c1", "c2").agg(F.min("doc_id").alias("node"), F.count("*").alias("rows")), "classes")
     # one row for each node: it takes no join on the class, whose copies may be a third of all rows
     reps = filled.withColumnRenamed("doc_id", "node").join(classes, ["node", "c1", "c2"], "left_semi")
     reps = reps.groupBy("node", "c1", "c2").agg(F.first("n_shingles").alias("n"), F.first("registers").alias("registers")).select("node", "n", "registers")
     reps = materialize(reps, "representatives")
 
     keyed = materialize(reps.select("node", "registers").mapInArrow(_band_batches, "node long, key long"), "bands")
-    hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1")
-    member = materialize(keyed.join(hubs, "key"), "buckets")
-    pairs = member.where("node <> hub").select("hub", "node").distinct()
+    hubs = materialize(keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1"), "hubs")
+    member = materialize(hot_join(keyed, hubs, "key", n="members"), "buckets")
+    pairs = materialize(member.where("node <> hub").select("hub", "node").distinct(), "hub-pairs")
     side = reps.select(F.col("node").alias("hub"), F.col("registers").alias("hub_registers"), F.col("n").alias("hub_n"))
-    scored = pairs.join(reps, "node").join(side, "hub").select("hub", "node", "hub_registers", "registers", "hub_n", "n")
+    side = materialize(pairs.groupBy("hub").agg(F.count("*").alias("pairs")).join(side, "hub"), "hub-sketches")
+    scored = hot_join(pairs.join(reps, "node"), side, "hub", n="pairs").select("hub", "node", "hub_registers", "registers", "hub_n", "n")
     pairs = materialize(scored.mapInArrow(_estimate_batches, "hub long, node long"), "pairs")
 
-    sizes = pairs.groupBy("hub").agg(F.count("*").alias("members"))
-    salted = pairs.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / STAR).cast("long")).cast("int").alias("salt"), "node")
+    sizes = materialize(pairs.groupBy("hub").agg(F.count("*").alias("members")), "star-sizes")
+    salted = hot_join(pairs, sizes, "hub", n="members").select("hub", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / STAR).cast("long")).cast("int").alias("salt"), "node")
     star = salted.union(salted.select("hub", "salt", F.col("hub").alias("node")).distinct())
     # whole texts are met once: those of documents that share a bucket are few, and are kept by themselves
     met = keyed_side(materialize(member.select("node").distinct(), "met"))
@@ -265,11 +273,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75) -> Dat
     first = materialize(connected_components(links), "first")
 
     here = member.where("members > 2").join(first, "node", "left").select("key", "hub", "node", "members", F.coalesce("component_id", "node").alias("comp"))
+    here = materialize(here.where("node <> hub"), "members")
     # pairs with the hub have been tried: what is left has two components beside the hub itself
-    mixed = here.where("node <> hub").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    open_ = here.join(mixed, "key").where("node <> hub").join(reps, "node").withColumn("g", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("g").cast("long")).cast("int"))
-    open_ = open_.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "comp", "n", "registers")
+    mixed = here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).where("lo <> hi").select("key", "rows")
+    here = materialize(hot_join(here, materialize(mixed, "mixed"), "key", n="rows").join(reps, "node"), "mixed-members")
+    # the largest component of a bucket is not compared with itself: what is outside it meets all members, block by block
+    size = here.groupBy("key", "comp").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
+    blocks = lambda rows, shingles: F.greatest(F.lit(1), F.ceil(rows / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("long")
+    size = size.groupBy("key").agg(F.max(F.struct("rows", "comp", "shingles")).alias("most"), F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles"))
+    size = size.select("key", "rows", F.col("most.comp").alias("main"), blocks(F.col("rows"), F.col("shingles")).alias("g_all"), blocks(F.col("rows") - F.col("most.rows"), F.col("shingles") - F.col("most.shingles")).alias("g_rest"))
+    met_ = hot_join(here.drop("rows"), materialize(size, "bucket-sizes"), "key", n="rows")
+    cell = lambda i, j, block: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(block).alias("block"))
+    every = lambda g: F.sequence(F.lit(0).cast("long"), F.col(g) - 1)
+    among = lambda g: F.pmod(F.xxhash64("node"), F.col(g))
+    as_one_of_all = F.transform(every("g_rest"), lambda i: cell(i, among("g_all"), 1))
+    as_one_outside = F.when(F.col("comp") != F.col("main"), F.transform(every("g_all"), lambda j: cell(among("g_rest"), j, 0))).otherwise(F.array().cast("array<struct<i:int,j:int,block:int>>"))
+    open_ = met_.withColumn("cell", F.explode(F.concat(as_one_of_all, as_one_outside))).select("key", "cell.i", "cell.j", "cell.block", "node", "comp", "n", "registers")
     open_ = open_.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     wanted = materialize(open_.mapInArrow(_left_over, "key long, i int, j int, block int, node long, comp long"), "left-over")
     rest = wanted.join(text, "node").select("key", "i", "j", "block", "node", "comp", "text")
@@ -277,9 +296,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75) -> Dat
     more = rest.mapInArrow(lambda it: _verify_groups(it, shingle, percent), "a long, b long")
     final = connected_components(materialize(more, "more").union(first.selectExpr("node AS a", "component_id AS b")))
 
-    named = classes.join(final, "node", "left").select("c1", "c2", F.coalesce("component_id", "node").alias("component_id"))
+    named = classes.join(final, "node", "left").select(F.struct("c1", "c2").alias("class"), "rows", F.coalesce("component_id", "node").alias("component_id"))
     # a doc_id with several texts is one node, whatever class each text is in
-    out = sketched.join(named, ["c1", "c2"], "left")
+    out = sketched.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.struct("c1", "c2")).alias("class"))
+    out = out.where("class IS NULL").withColumn("component_id", F.lit(None).cast("long")).unionByName(hot_join(out.where("class IS NOT NULL"), materialize(named, "named"), "class", "left", "rows").drop("rows"))
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
@@ -291,10 +311,11 @@ def keep_first(docs: DataFrame, shingle: int = 5, percent: int = 75) -> DataFram
     Documents without words and rows without a doc_id are nobody's duplicates and all stay.
     Of rows that share the kept doc_id one stays, the one whose columns come first in order.
     """
-    found = near_duplicates(docs, shingle, percent).groupBy("doc_id").agg(F.count("*").alias("_rows"), F.max("kept").alias("_kept"))
-    found = materialize(found.where("_kept").drop("_kept"), "kept")
-    side = keyed_side(found).withColumnRenamed("doc_id", "_id")
-    rows = docs.join(side, F.col("doc_id") == F.col("_id"))
-    single = rows.where("_rows = 1").select(*docs.columns)
-    several = rows.where("_rows > 1").select(F.struct(*docs.columns).alias("_row")).groupBy("_row.doc_id").agg(F.min("_row").alias("_row")).select("_row.*")
-    return single.unionByName(several).unionByName(docs.where("doc_id IS NULL"))
+    found = near_duplicates(docs, shingle, percent).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("copies"), F.max("kept").alias("kept"))
+    found = materialize(found, "kept")
+    # the columns of the table travel in one struct, so that none of their names can clash
+    rows = docs.select("doc_id", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    gone = keyed_side(found.where("NOT kept OR copies > 1").select("doc_id"))
+    several = rows.join(keyed_side(found.where("kept AND copies > 1").select("doc_id")), "doc_id").select("doc_id", F.to_json("doc").alias("text_of"), "doc")
+    several = several.groupBy("doc_id").agg(F.min_by("doc", "text_of").alias("doc"))
+    return rows.join(gone, "doc_id", "left_anti").unionByName(several).select("doc.*")
