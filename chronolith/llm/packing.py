@@ -1,21 +1,23 @@
 """Packing token sequences: a configuration linear program over the length histogram, then exact placement.
 
 The histogram of piece lengths (at most ``capacity`` numbers, whatever the
-corpus) goes to the driver.  Multiplicative weights solve the configuration LP:
-every length class has a weight that falls as it is covered, a knapsack by
-dynamic programming prices the best configuration, and a step is taken along
-it.  Rounding down leaves whole copies of configurations; each is filled with
-real lengths, its slack with short pieces, and what is left over is packed by
-best fit, all on counts.  The result is a table of patterns whose size depends
-on the capacity alone.  Pieces are numbered within their length by two counts
-(per bucket, then across buckets) and find their place by binary search.
+corpus) goes to the driver.  Multiplicative weights solve the configuration LP
+over the real lengths: every length has a weight that falls as it is covered,
+a knapsack by dynamic programming prices configurations, one that holds each of
+the longest uncovered lengths, and a step is taken along each.  Rounding takes
+whole copies of the configurations, then single copies of what was cut off as
+far as pieces last; what is left over is packed by best fit, all on counts.  The
+result is a table of patterns whose size depends on the capacity alone.  Pieces
+are numbered within their length by two counts (per bucket, then across buckets)
+and find their place by binary search.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
+from bisect import bisect_right, insort
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,42 +29,66 @@ from .scratch import materialize
 from .tokens import encoder
 
 CAPACITY, END = 4096, 1
-CLASSES, ROUNDS, RATE = 128, 400, 4.0  # length classes and steps of the LP, and how fast a covered class loses weight
-SAND = 16  # pieces of at most capacity / SAND fill slack and take no part in the LP
+COLUMNS = 256  # configurations that are taken from one pricing
+RATE, SHARE = 0.05, 0.25  # how fast a covered length loses weight, and the share of its demand that a step covers at most
+LONG = 0.05  # how much more a token of the longest piece weighs at first than one of the shortest, so that short pieces last
+#: Per cent of the sequences from rounding, of the emptiest and of those of the shortest pieces, that are dissolved and packed
+#: with the rest by best fit: as few as let the plan meet the bound, or else those with the fewest sequences.
+GIVEN_BACK = (6, 3), (12, 8), (24, 16)
 BUCKET_ROWS = 50_000
 
 
-def best_configuration(sizes: np.ndarray, values: np.ndarray, capacity: int) -> np.ndarray:
-    """Counts of each item in an unbounded knapsack of most value; ``sizes`` ascend and are at least 1."""
-    best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+def knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int) -> np.ndarray:
+    """Most value of an unbounded knapsack, for every capacity up to this one; ``sizes`` ascend and are at least 1."""
+    best = np.zeros(capacity + 1)
     upto = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
     for c in range(int(sizes[0]), capacity + 1):
-        k = upto[c]
-        got = values[:k] + best[c - sizes[:k]]
-        i = int(got.argmax())
-        best[c], choice[c] = got[i], i
-    counts, c = np.zeros(len(sizes), dtype=np.int64), capacity
-    while choice[c] >= 0:
-        counts[choice[c]] += 1
-        c -= int(sizes[choice[c]])
-    return counts
+        best[c] = max(best[c - 1], (values[: upto[c]] + best[c - sizes[: upto[c]]]).max())
+    return best
 
 
-def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[np.ndarray, float]]:
-    """Fractional solution of the covering LP: (items of each class in a sequence, number of such sequences)."""
-    covered, used = np.zeros(len(sizes)), {}
-    for _ in range(rounds):
-        short = np.maximum(1.0 - covered, 0.0)
-        values = sizes * np.exp(RATE * (short - short.max())) * (short > 1e-9)
-        if not values.any():
+def configuration(seed: int, sizes: np.ndarray, values: np.ndarray, best: np.ndarray, left: np.ndarray) -> dict[int, int]:
+    """Items of a sequence of most value that holds item ``seed`` and no more of an item than is left."""
+    counts, room, left = {seed: 1}, len(best) - 1 - int(sizes[seed]), left.copy()
+    left[seed] -= 1
+    while room >= sizes[0]:
+        k = int(np.searchsorted(sizes, room, side="right"))
+        worth = np.where(left[:k] > 0, values[:k] + best[room - sizes[:k]], -1.0)
+        i = int(worth.argmax())
+        if worth[i] < 0:
             break
-        config = best_configuration(sizes, values, capacity)
-        has = config > 0
-        step = float(min((demand[has] * short[has] / config[has]).min(), max((demand[has] / config[has]).min() * 0.25, 1.0)))
-        covered[has] += step * config[has] / demand[has]
-        key = config.tobytes()
-        used[key] = used.get(key, 0.0) + step
-    return [(np.frombuffer(k, dtype=np.int64), x) for k, x in used.items()]
+        n = max(1, min(int(left[i]), room // int(sizes[i])) // 4)  # of a short item several at once
+        counts[i] = counts.get(i, 0) + n
+        left[i] -= n
+        room -= n * int(sizes[i])
+    return counts
+
+
+def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[list[tuple[dict[int, int], float]], float]:
+    """The covering LP by multiplicative weights: ((items of a sequence, number of such sequences), ...) and a lower bound of its value.
+
+    The bound is the greatest of the dual solutions that sizes and prices make: values
+    divided by the most that one sequence can hold.
+    """
+    left, bound, used = demand.astype(np.float64), float(sizes @ demand) / capacity, {}
+    weight = sizes * (1.0 + LONG * sizes / capacity)
+    while left.max(initial=0.0) > 1e-6:
+        values = np.where(left > 1e-6, weight * np.exp(RATE * (left / demand - 1.0)), 0.0)
+        open_ = np.flatnonzero(values)
+        s, v = sizes[open_], values[open_]
+        best = knapsack(s, v, capacity)
+        bound = max(bound, float(v @ demand[open_] / best[capacity]))
+        for k in range(len(open_) - 1, max(-1, len(open_) - 1 - COLUMNS), -1):
+            stock = np.ceil(left[open_] - 1e-6).astype(np.int64)
+            if stock[k] < 1:
+                continue
+            config = configuration(k, s, v, best, stock)
+            at, n = open_[list(config)], np.array(list(config.values()))
+            step = float(min((left[at] / n).min(), max(SHARE * (demand[at] / n).min(), 1.0)))
+            left[at] = np.maximum(left[at] - step * n, 0.0)
+            key = tuple(sorted(zip(at.tolist(), n.tolist(), strict=True)))
+            used[key] = used.get(key, 0.0) + step
+    return [(dict(key), x) for key, x in used.items()], bound
 
 
 class Stock:
@@ -72,9 +98,9 @@ class Stock:
         self.left = {n: c for n, c in counts.items() if c}
         self.order = sorted(self.left)
 
-    def longest(self, most: int, least: int = 1) -> int | None:
+    def longest(self, most: int) -> int | None:
         i = bisect_right(self.order, most) - 1
-        return self.order[i] if i >= 0 and self.order[i] >= least else None
+        return self.order[i] if i >= 0 else None
 
     def take(self, length: int, n: int) -> None:
         self.left[length] -= n
@@ -82,50 +108,58 @@ class Stock:
             del self.left[length]
             self.order.pop(bisect_right(self.order, length) - 1)
 
+    def put(self, length: int, n: int) -> None:
+        if length not in self.left:
+            insort(self.order, length)
+        self.left[length] = self.left.get(length, 0) + n
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
-    """(lengths in a sequence, number of such sequences) that hold every piece of the histogram exactly once.
 
-    The LP is solved once; of several roundings, which keep more or less of it, the one with the fewest sequences is taken.
-    """
-    large = sorted(n for n, c in histogram.items() if capacity // SAND < n < capacity and c)
-    unit = 1 if len(large) <= CLASSES else max(1, capacity // CLASSES)
-    tops = np.array(sorted({-(-n // unit) for n in large}), dtype=np.int64)
-    demand = np.zeros(len(tops))
-    for n in large:
-        demand[np.searchsorted(tops, -(-n // unit))] += histogram[n]
-    solved = configurations(tops, demand, capacity // unit) if large else []
-    rounded = (_rounded(histogram, [(c, x * kept) for c, x in solved], tops, unit, capacity) for kept in (1.0, 0.9, 0.5, 0.1))
-    return min(rounded, key=lambda r: sum(m for _, m in r))
-
-
-def _rounded(histogram: dict[int, int], solved: list[tuple[np.ndarray, float]], tops: np.ndarray, unit: int, capacity: int) -> list[tuple[list[int], int]]:
-    """Whole copies of the configurations, with real lengths, filled up by best fit; then the rest by best fit."""
-    stock = Stock({n: c for n, c in histogram.items() if n < capacity})
-    out = [([n], c) for n, c in histogram.items() if n == capacity and c]
-    heads: list[tuple[list[int], int]] = []
-    for config, copies in sorted(solved, key=lambda x: -x[1]):
-        wanted = [(int(tops[k]) * unit, (int(tops[k]) - 1) * unit + 1) for k in np.flatnonzero(config)[::-1] for _ in range(config[k])]
-        left = int(copies)
-        while left:
-            lengths: list[int] = []
-            for most, least in wanted:
-                if len(lengths) == len(wanted) - 1:  # the last fits as tightly as real lengths allow
-                    most, least = capacity - sum(lengths), max(1, least - (len(wanted) + 1) * unit)
-                n = stock.longest(most, least)
-                while n is not None and stock.left[n] <= lengths.count(n):
-                    n = stock.longest(n - 1, least)
-                if n is None:
-                    break
-                lengths.append(n)
-            if len(lengths) < len(wanted):
-                break
-            m = min(left, *(stock.left[n] // lengths.count(n) for n in lengths))
-            for n in lengths:
-                stock.take(n, m)
-            heads.append((lengths, m))
-            left -= m
-    heads.reverse()
+@dataclass(frozen=True)
+class Plan:
+    """(lengths in a sequence, number of such sequences), the LP's lower bound, and how many sequences come from rounding and from best fit."""
+
+    sequences: list[tuple[list[int], int]]
+    bound: float
+    rounded: int
+    remainder: int
+
+    def __len__(self) -> int:
+        return self.rounded + self.remainder
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
+    """Sequences that hold every piece of the histogram exactly once."""
+    counts = {n: c for n, c in histogram.items() if n < capacity and c}
+    sizes = np.array(sorted(counts), dtype=np.int64)
+    columns, bound = solve(sizes, np.array([counts[n] for n in sizes.tolist()], dtype=np.float64), capacity) if counts else ([], 0.0)
+    best: Plan | None = None
+    for shares in GIVEN_BACK:
+        found = _rounded(counts, columns, bound, sizes, shares, capacity)
+        if best is None or len(found) < len(best):
+            best = found
+        if len(best) <= np.ceil(bound - 1e-6):
+            break
+    full = histogram.get(capacity, 0)
+    return Plan([([capacity], full)] * bool(full) + best.sequences, bound + full, best.rounded + full, best.remainder)
+
+
+def _rounded(counts: dict[int, int], columns: list[tuple[dict[int, int], float]], bound: float, sizes: np.ndarray, shares: tuple[int, int], capacity: int) -> Plan:
+    """Whole copies of the LP's configurations, single copies of what rounding cut off, and best fit for what is left and given back."""
+    out: list[tuple[list[int], int]] = []
+    stock, heads = Stock(counts), []
+
+    def take(config: dict[int, int], copies: int) -> None:
+        m = min(copies, *(stock.left.get(int(sizes[i]), 0) // n for i, n in config.items()))
+        if m:
+            for i, n in config.items():
+                stock.take(int(sizes[i]), m * n)
+            heads.append(([int(sizes[i]) for i, n in config.items() for _ in range(n)], m))
+
+    for config, x in columns:
+        take(config, int(x + 1e-6))
+    for config, x in sorted(columns, key=lambda c: int(c[1] + 1e-6) - c[1]):
+        if x - int(x + 1e-6) > 1e-6:
+            take(config, 1)
 
     def fill(lengths: list[int], m: int) -> None:
         """Best fit: the longest piece left that fits, copy by copy but on counts."""
@@ -143,14 +177,27 @@ def _rounded(histogram: dict[int, int], solved: list[tuple[np.ndarray, float]],
                 todo.append((own, m - k, slack))
             todo.append((own + [n] * repeat, k, slack - n * repeat))
 
-    while heads:
-        fill(*heads.pop())
+    made = sum(m for _, m in heads)
+    for rank, share in zip((lambda h: sum(h[0]), lambda h: -len(h[0])), shares, strict=True):
+        heads.sort(key=rank, reverse=True)
+        back = -(-made * share // 100)
+        while back > 0 and heads:
+            lengths, m = heads.pop()
+            gone = min(m, back)
+            for n in lengths:
+                stock.put(n, gone)
+            if gone < m:
+                heads.append((lengths, m - gone))
+            back -= gone
+    for lengths, m in sorted(heads, key=lambda h: sum(h[0])):
+        fill(lengths, m)
+    rounded = sum(m for _, m in out)
     while stock.order:
         n = stock.order[-1]
         m = max(1, stock.left[n] // (capacity // n))
         stock.take(n, m)
         fill([n], m)
-    return out
+    return Plan(out, bound, rounded, sum(m for _, m in out) - rounded)
 
 
 def _piece_batches(batches: Iterator[pa.RecordBatch], tokenizer: str, capacity: int) -> Iterator[pa.RecordBatch]:
@@ -199,7 +246,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
     total = sum(histogram.values())
     by_length: dict[int, list[tuple[int, int, int]]] = {}
     sequences = 0
-    for lengths, m in plan(histogram, capacity):
+    for lengths, m in plan(histogram, capacity).sequences:
         offset = 0
         for n in lengths:
             by_length.setdefault(n, []).append((m, sequences, offset))
@@ -215,7 +262,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
     slots = tuple(np.array(x, dtype=np.int64) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, dtype=np.int64),) * 3
 
     buckets = 32 + total // BUCKET_ROWS
-    spread = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    # equal rows would share a bucket by their hash: where they lie in the table spreads them; which of them takes which place is not told apart
+    pieces = pieces.withColumn("spread", F.monotonically_increasing_id())
+    spread = materialize(pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "spread"), F.lit(buckets))).drop("spread"), "dealt")
     before = spread.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = before.withColumn("before", F.sum("n").over(W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("n"))
     own = F.row_number().over(W.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32"))
