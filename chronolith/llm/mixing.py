@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import hot_join, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 SHIFTS = ((22, 1024), (12, 1024), (0, 4096))  # hash bits of the three levels: shift, buckets
@@ -95,13 +95,14 @@ def _level(k: int) -> Column:
 
 def _thresholds(rows: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
     """One row for each source: its target, whole copies, and the three levels of its threshold."""
-    hist = materialize(rows.groupBy("key", _level(0).alias("b")).agg(F.sum("size").alias("words")), "histogram")
+    hist = materialize(rows.groupBy("key", _level(0).alias("b")).agg(F.sum("size").alias("words"), F.count("*").alias("rows")), "histogram")
     t = targets(hist.groupBy("key").agg(F.sum("words").alias("source_size")), weights, cap)
+    t = t.join(hist.groupBy("key").agg(F.sum("rows").alias("rows")), "key")
     budget = F.round("target").cast("long")
     copies = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     t = t.withColumn("copies", copies).withColumn("extra", F.when(F.col("source_size") > 0, budget - F.col("copies") * F.col("source_size")).otherwise(0))
     t = materialize(t, "targets")
-    at = _boundary(hist.join(t.select("key", "extra"), "key"), 0)
+    at = _boundary(hist.drop("rows").join(t.select("key", "extra"), "key"), 0)
     for k in (1, 2):
         keys = [f"t{i}" for i in range(k)]
         inside = rows.select("key", "size", *(_level(i).alias(f"t{i}") for i in range(k)), _level(k).alias("b"))
@@ -115,12 +116,9 @@ def _thresholds(rows: DataFrame, weights: tuple[int, ...], cap: int) -> DataFram
 def _apply(rows: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Adds source_size, target, taken to rows with key, size, h.
 
-    Thresholds are copied to every first-level bucket, so the join's keys are
-    (source, bucket) and a source with most of the rows is spread over 1024 of them.
+    Rows of large sources stay where they are and meet a copy of the few thresholds of these; the others are shuffled by source.
     """
-    n = SHIFTS[0][1]
-    spread = thresholds.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("b", F.col("b").cast("long"))
-    joined = rows.withColumn("b", _level(0)).join(spread, ["key", "b"])
+    joined = hot_join(rows, thresholds, "key", n="rows")
     at = [_level(k) for k in range(3)]
     lower = reduce(lambda inner, k: (at[k] < F.col(f"t{k}")) | ((at[k] == F.col(f"t{k}")) & inner), (1, 0), at[2] < F.col("t2"))
     same = (at[0] == F.col("t0")) & (at[1] == F.col("t1")) & (at[2] == F.col("t2"))
