@@ -39,7 +39,7 @@ BUCKETS, BANDS, MANTISSA = 128, 32, 10
 ROWS = BUCKETS // BANDS
 ESTIMATE_FLOOR = 0.56  # 0.75 less five standard deviations of a 128-register estimate
 SMALL = 128  # sets of at most so many shingles are verified whatever the estimate: few elements make it coarse, and they are quick to compare
-BLOCK, BLOCK_SHINGLES = 2048, 1 << 21  # documents and shingles of one bucket that are held on a side in one task; larger buckets are dealt out as pairs of blocks
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20  # documents and shingles of one bucket that are held on a side in one task; larger buckets are dealt out as pairs of blocks
 STAR = 2000  # members that are verified against one copy of the hub's text
 _VALUE_BITS = 64 - 7
 _U = np.uint64

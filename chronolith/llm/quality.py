@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import keyed_side, materialize
 from .words import shingle_hashes, word_hashes
 
 FEATURES = (
@@ -206,8 +206,15 @@ def _scores(model: Discriminant | None, x: np.ndarray) -> np.ndarray:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that the classifier accepts, with all their columns; texts stay where they are, none is shuffled."""
-    model = train(materialize(document_features(docs), "features"), labels)
+    """Rows of ``docs`` that the classifier accepts, with all their columns; texts stay where they are, none is shuffled.
+
+    Features of labelled documents alone are computed to learn from.  With no
+    labels, or of one class only, nothing can be told apart and every row stays.
+    Null and empty texts are scored as empty; equal rows stay or go together.
+    """
+    known = materialize(labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select("doc_id").distinct(), "labelled")
+    labelled = docs.select("doc_id", "text").where(~held_out(F.col("doc_id"))).join(keyed_side(known), "doc_id", "left_semi")
+    model = train(materialize(document_features(labelled), "features"), labels)
     if model is None:
         return docs
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from tokenizers import Tokenizer
 
-CACHE = 250_000  # remembered pieces, some 50 MB in each worker; beyond it the cache starts anew
+CACHE, CACHED_LENGTH = 250_000, 48  # remembered pieces of at most so many characters, some 50 MB in each worker; beyond it the cache starts anew
 
 # The tokenizer lower-cases, splits runs of letters, single digits and runs of other
 # characters, and never joins across white space, so a text's ids are those of its pieces.
@@ -57,7 +57,8 @@ class WordEncoder(dict):
                 ids = self[word] + self[piece[end:]]
             else:
                 ids = self._by_tokenizer(piece)
-        self[piece] = ids
+        if len(piece) <= CACHED_LENGTH:
+            self[piece] = ids
         return ids
 
     def ids(self, text: str) -> bytes:
