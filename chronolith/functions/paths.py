@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Content classes in the order of their bits, and the names that decide them.
 CLASSES = ("source", "vcs-meta", "config-secret", "dependency", "build-output", "database", "lockfile", "scratch")
@@ -106,8 +108,31 @@ def cache_class(path: Column, sibling_manifest: Column) -> Column:
     return F.coalesce(known, F.when((name == "target") & sibling_manifest, "rust_build_cache"))
 
 
+def _class_end(pattern: str, at: int) -> int | None:
+    """Where the class that begins at ``at`` ends; None if it is empty or open, and the bracket stands for itself."""
+    begin = at + 1 + (pattern[at + 1 : at + 2] in ("!", "^"))
+    end = pattern.find("]", begin)
+    return end if end > begin else None
+
+
+def _class_regex(body: str) -> str:
+    negated, items, i = body[0] in "!^", [], 0
+    body = body[1:] if negated else body
+    while i < len(body):
+        if body[i + 1 : i + 2] == "-" and i + 2 < len(body):
+            if body[i] <= body[i + 2]:  # a range that runs backwards holds nothing
+                items.append(f"\\x{{{ord(body[i]):x}}}-\\x{{{ord(body[i + 2]):x}}}")
+            i += 3
+        else:
+            items.append(f"\\x{{{ord(body[i]):x}}}")
+            i += 1
+    if not items:
+        return "[^/]" if negated else "(?!)"
+    return f"(?!/)[{'^' * negated}{''.join(items)}]"
+
+
 def glob_to_regex(pattern: str) -> str:
-    """A glob as a regular expression: ``*`` and ``?`` stay in a component, ``**`` crosses, ``[!a]`` negates, an open ``[`` is itself."""
+    """A glob as a regular expression of the JVM: ``*`` and ``?`` stay in a component, ``**`` crosses, ``[!a]`` negates, an open or empty ``[`` is itself."""
     out, i = [], 0
     while i < len(pattern):
         c = pattern[i]
@@ -119,11 +144,8 @@ def glob_to_regex(pattern: str) -> str:
             out.append("[^/]*")
         elif c == "?":
             out.append("[^/]")
-        elif c == "[" and (end := pattern.find("]", i + 1)) > i + 1:
-            body = pattern[i + 1 : end]
-            negated = body[0] in "!^"
-            body = re.sub(r"([\\\[\]&^])", r"\\\1", body[1:] if negated else body)
-            out.append(f"(?!/)[{'^' if negated else ''}{body}]")
+        elif c == "[" and (end := _class_end(pattern, i)) is not None:
+            out.append(_class_regex(pattern[i + 1 : end]))
             i = end
         else:
             out.append(re.escape(c))
@@ -131,11 +153,10 @@ def glob_to_regex(pattern: str) -> str:
     return "(?s)^" + "".join(out) + "$"
 
 
-def glob_column(pattern: Column) -> Column:
-    """The same for a column of patterns without character classes."""
-    escaped = F.regexp_replace(pattern, r"([.+()|{}^$\[\]\\])", r"\\$1")
-    marked = F.replace(F.replace(escaped, F.lit("**"), F.lit("\u0001")), F.lit("*"), F.lit("[^/]*"))
-    return F.concat(F.lit("(?s)^"), F.replace(F.replace(marked, F.lit("?"), F.lit("[^/]")), F.lit("\u0001"), F.lit(".*")), F.lit("$"))
+@F.pandas_udf(StringType())
+def glob_column(pattern: pd.Series) -> pd.Series:
+    """The same for a column of patterns: of distinct ones, which are few beside the paths that they meet."""
+    return pattern.map(glob_to_regex, na_action="ignore")
 
 
 def literal_prefix(pattern: Column) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from .paths import CLASSES
 
 DAY, HOUR, WEEK = 86_400, 3_600, 604_800
-UNITS = ("B", "KiB", "MiB", "GiB", "TiB")
+UNITS = ("B", "KiB", "MiB", "GiB", "TiB")  # fixed values
+SUFFIXES = {"": 0, "b": 0, "k": 1, "kb": 1, "kib": 1, "m": 2, "mb": 2, "mib": 2, "g": 3, "gb": 3, "gib": 3, "t": 4, "tb": 4, "tib": 4}  # fixed values
 
 
 def object_id(kind: str, content: Column) -> Column:
@@ -30,11 +31,12 @@ def human_bytes(n: Column) -> Column:
 
 
 def parse_bytes(text: Column) -> Column:
-    """Bytes of a number with an optional unit, base 1024; null if it is neither."""
-    unit = F.upper(F.regexp_extract(text, r"^\s*\d+\s*([kKmMgGtT]?)(?:i?[bB])?\s*$", 1))
-    number = F.nullif(F.regexp_extract(text, r"^\s*(\d+)\s*[kKmMgGtT]?(?:i?[bB])?\s*$", 1), F.lit("")).cast("long")
-    power = F.when(unit == "K", 1024).when(unit == "M", 1024**2).when(unit == "G", 1024**3).when(unit == "T", 1024**4).otherwise(1)
-    return number * power.cast("long")
+    """Bytes of a number with an optional unit, base 1024; null if it is neither, or more than a long holds."""
+    t = F.trim(text)
+    digits = F.regexp_extract(t, r"^(\d*)", 1)
+    suffix = F.lower(F.trim(F.substring(t, F.length(digits) + 1, F.length(t))))
+    factor = F.element_at(F.create_map(*(F.lit(x) for s, k in SUFFIXES.items() for x in (s, 1024**k))), suffix)
+    return F.try_multiply(digits.try_cast("long"), factor.cast("long"))
 
 
 def bucket(seconds: Column, width: int) -> Column:
@@ -46,6 +48,11 @@ def saturating_sub(a: Column, b: Column) -> Column:
     return F.greatest(a - b, F.lit(0))
 
 
+def saturating_add(a: Column, b: Column) -> Column:
+    """The sum, or the greatest long where that is too small."""
+    return F.coalesce(F.try_add(a.cast("long"), b.cast("long")), F.when(a.isNotNull() & b.isNotNull(), F.lit(2**63 - 1)))
+
+
 def ceil_div(a: Column, n: int) -> Column:
     return F.floor((a + F.lit(n - 1)) / F.lit(n)).cast("long")
 
@@ -53,6 +60,7 @@ def ceil_div(a: Column, n: int) -> Column:
 def byte_mask(now: int, sealed_at: Column, exact: Column) -> Column:
     """Content classes whose bytes a snapshot of this age keeps, as bits; all of them for an exact root or one from the future."""
     age = F.lit(now) - sealed_at
+    # fixed values: how many days the bytes of a class are kept
     bit = {c: 1 << i for i, c in enumerate(CLASSES)}
     mask = F.lit(bit["source"] | bit["vcs-meta"] | bit["config-secret"] | bit["lockfile"])
     for days, names in ((30, ("database",)), (3, ("dependency", "build-output")), (1, ("scratch",))):
@@ -65,6 +73,7 @@ def cursor(family: Column, sequence: Column) -> Column:
 
 
 def cursor_sequence(text: Column, family: str) -> Column:
-    """The sequence of a cursor of this family; null for other families and for what is no cursor."""
-    own = text.rlike(f"^{family}:\\d+$")
-    return F.when(own, F.substring_index(text, ":", -1)).cast("long")
+    """The sequence of a cursor of this family, after its last colon; null for other families and for what is no cursor."""
+    tail = F.substring_index(text, ":", -1)
+    own = text == F.concat(F.lit(f"{family}:"), tail)
+    return F.when(own & tail.rlike(r"^\+?\d+$"), tail.try_cast("long"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,18 +38,47 @@ def latest_values(log: DataFrame, keys: list[str], tombstone: Column, order: str
     return last.select(*keys, "v.*").where(~tombstone)
 
 
-def sync_disposition(local: Column, remote: Column, base: Column) -> Column:
-    """What a pull means for heads and their common base: bootstrap, up_to_date, fast_forward, ahead or diverged."""
-    return (
-        F.when(local.isNull(), "bootstrap").when(local == remote, "up_to_date").when(base.eqNullSafe(local), "fast_forward").when(base.eqNullSafe(remote), "ahead").otherwise("diverged")
-    )
+def sync_disposition(local: Column, remote: Column, base: Column, prior_local: Column, prior_remote: Column, bootstrap: Column) -> Column:
+    """What a pull does, by root trees: up_to_date, fast_forwarded, bootstrapped or diverged.
+
+    ``base`` is the tree that the remote snapshot was built on, ``prior_*`` the trees of the last sync (null before the first).
+    """
+    forward = (base == local) | ((base == prior_remote) & (prior_local == local))
+    return F.when(local.eqNullSafe(remote), "up_to_date").when(F.coalesce(forward, F.lit(False)), "fast_forwarded").when(bootstrap, "bootstrapped").otherwise("diverged")
+
+
+def follow_decision(local: Column, remote: Column, synced_local: Column, synced_remote: Column) -> Column:
+    """What a follower does next, by root trees: publish to an empty remote or one that stayed, idle if neither side moved, else pull, which judges for itself."""
+    first = synced_remote.isNull()
+    idle = (~first & (synced_remote == remote) & synced_local.eqNullSafe(local)) | (first & (local == remote))
+    return F.when(remote.isNull(), "publish").when(F.coalesce(idle, F.lit(False)), "idle").when(F.coalesce(synced_remote == remote, F.lit(False)), "publish").otherwise("pull")
 
 
-def follow_decision(local: Column, remote: Column, synced: Column) -> Column:
-    """publish if only the local head moved since the last sync, pull if only the remote did, idle if none; else diverged."""
-    return (
-        F.when(local.eqNullSafe(remote), "idle").when(remote.eqNullSafe(synced), "publish").when(local.eqNullSafe(synced), "pull").otherwise("diverged")
-    )
+RETRY_GROWTH, RETRY_AFTER = 64 << 20, 86_400  # fixed values: bytes and seconds
+
+
+def pressure_tries(log: DataFrame, growth: int = RETRY_GROWTH, after: int = RETRY_AFTER) -> DataFrame:
+    """``log(workspace, sequence, used, at, satisfied)`` to the rows where freeing space is tried: workspace, sequence.
+
+    The last try that did not satisfy is remembered; the next comes with ``growth`` more bytes than it saw or ``after`` seconds later.
+    A try that satisfies is forgotten.  Rows depend on each other in their order, so they come sorted by workspace, and a task keeps one try.
+    """
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at: object = None
+        last: tuple[int, int] | None = None
+        for pdf in batches:
+            out = []
+            for w, s, used, when, satisfied in zip(*(pdf[c].tolist() for c in ("workspace", "sequence", "used", "at", "satisfied")), strict=True):
+                if w != at:
+                    at, last = w, None
+                if last is None or used >= last[0] + growth or when - last[1] >= after:
+                    out.append((w, s))
+                    last = None if satisfied else (used, when)
+            yield pd.DataFrame(out, columns=["workspace", "sequence"]).astype("int64")
+
+    rows = log.select("workspace", "sequence", "used", "at", "satisfied").repartition("workspace").sortWithinPartitions("workspace", "sequence")
+    return rows.mapInPandas(walk, "workspace long, sequence long")
 
 
 def lease_allows(owner: Column, asks: Column, expires_at: Column, now: int, takeover: Column) -> Column:

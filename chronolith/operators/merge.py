@@ -6,14 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import with_ancestors
+from ..sources.shared import shared_table
 from .diff import MERGE, entry
 
+ENTRY = "struct<kind:string,target:string,mode:int,size:bigint>"
+
 
 def _three(base: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    sides = [d.select("path", F.struct("kind", "target", "mode", "size").alias(n)) for n, d in (("b", base), ("o", ours), ("t", theirs))]
-    j = sides[0].join(sides[1], "path", "full_outer").join(sides[2], "path", "full_outer")
+    """What differs between any two of the states, by path: kinds and which sides agree.  One shuffle, of the three sides together; written once."""
+    entry_ = F.struct("kind", "target", "mode", "size")
+    side = lambda df, n: df.select("path", *(entry_.alias(c) if c == n else F.lit(None).cast(ENTRY).alias(c) for c in "bot"))
+    rows = side(base, "b").unionByName(side(ours, "o")).unionByName(side(theirs, "t"))
+    j = rows.groupBy("path").agg(*(F.first(c, ignorenulls=True).alias(c) for c in "bot"))
     same = lambda x, y: entry(x, MERGE, True).eqNullSafe(entry(y, MERGE, True))
-    return j.select("path", *(F.col(f"{n}.kind").alias(f"{n}_kind") for n in "bot"), same("o", "t").alias("ot"), same("b", "o").alias("bo"), same("b", "t").alias("bt"))
+    j = j.select("path", *(F.col(f"{n}.kind").alias(f"{n}_kind") for n in "bot"), same("o", "t").alias("ot"), same("b", "o").alias("bo"), same("b", "t").alias("bt"))
+    return shared_table(j.where("NOT (bo AND bt)"), "three-way")
 
 
 def merge(base: DataFrame, ours: DataFrame, theirs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -37,6 +44,6 @@ def merge(base: DataFrame, ours: DataFrame, theirs: DataFrame) -> tuple[DataFram
     below = below.groupBy("above").agg(F.bool_or(~F.col("bo")).alias("ours_changed"), F.bool_or(~F.col("bt")).alias("theirs_changed"))
     hit = dirs.join(below, dirs["path"] == below["above"]).where("(td AND theirs_changed) OR (od AND ours_changed)")
     ancestor = hit.select("path", F.lit("ancestor").alias("kind")).join(direct, "path", "left_anti")
-    conflicts = direct.unionByName(ancestor)
+    conflicts = shared_table(direct.unionByName(ancestor), "conflicts")
     held = with_ancestors(changes, inclusive=True).join(conflicts.select(F.col("path").alias("above")), "above", "left_semi").select("path").distinct()
     return changes.join(held, "path", "left_anti"), conflicts

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import glob_column, with_ancestors
+from ..functions.paths import glob_column, literal_prefix, self_and_ancestors, with_ancestors
 from ..functions.values import digest_id
+from ..sources.shared import shared_table
 
 
 def pairs(scopes: DataFrame) -> DataFrame:
@@ -33,7 +34,7 @@ def members(scopes: DataFrame) -> DataFrame:
     Forks of exact scopes are the members of their path wherever there are two
     of them, so these need no pairs, and a path that all forks change stays linear.
     """
-    s = scopes.select("fork", "path", "scope").distinct()
+    s = shared_table(scopes.select("fork", "path", "scope").distinct(), "scopes")
     exact = s.where("scope = 0").select("path", "fork")
     crowded = exact.groupBy("path").agg(F.countDistinct("fork").alias("n")).where("n > 1").select("path")
     same = exact.join(crowded, "path", "left_semi")
@@ -42,22 +43,27 @@ def members(scopes: DataFrame) -> DataFrame:
     met = sub.select(F.col("fork").alias("a"), F.col("path").alias("above")).join(above, "above").where("a <> b")
     label = F.when((F.col("scope") == 1) & (F.col("b") < F.col("a")), F.col("below")).otherwise(F.col("above"))
     wide = met.select(label.alias("path"), F.explode(F.array("a", "b")).alias("fork"))
-    every = same.unionByName(wide).distinct()
+    every = shared_table(same.unionByName(wide).distinct(), "met")
     paths = every.select("path").distinct()
     nested = with_ancestors(paths).join(paths.select(F.col("path").alias("above")), "above", "left_semi").select("path").distinct()
-    return every.join(nested, "path", "left_anti")
+    return shared_table(every.join(nested, "path", "left_anti"), "members")
 
 
 def claim_states(paths: DataFrame, claims: DataFrame) -> DataFrame:
     """``paths(path)`` and ``claims(pattern, workspace)`` to path, claim_state by the number of workspaces that claim it.
 
-    Claims are small by nature; distinct patterns are compiled, and each path is matched against them.
+    A pattern meets the paths below its literal leading components, by an equi-join on exploded ancestors
+    (a pattern without any meets all paths); what meets is matched by its regular expression.
     """
-    c = claims.select("pattern", "workspace").distinct().withColumn("re", glob_column(F.col("pattern")))
-    hit = paths.select("path").distinct().join(c, F.expr("path RLIKE re"))
+    paths = paths.select("path").distinct()
+    c = claims.select("pattern", "workspace").distinct()
+    lead = literal_prefix(F.col("pattern"))
+    c = c.select("workspace", F.array_join(lead, "/").alias("above"), glob_column(F.col("pattern")).alias("re"))
+    under = paths.select("path", F.explode(F.concat(F.array(F.lit("")), self_and_ancestors(F.col("path")))).alias("above"))
+    hit = under.join(c, "above").where(F.expr("path RLIKE re"))
     n = hit.groupBy("path").agg(F.countDistinct("workspace").alias("n"))
     state = F.when(F.col("n").isNull(), "unclaimed").when(F.col("n") == 1, "covered").otherwise("contested")
-    return paths.select("path").distinct().join(n, "path", "left").select("path", state.alias("claim_state"))
+    return paths.join(n, "path", "left").select("path", state.alias("claim_state"))
 
 
 def conflicts(scopes: DataFrame, claims: DataFrame) -> DataFrame:
@@ -66,6 +72,7 @@ def conflicts(scopes: DataFrame, claims: DataFrame) -> DataFrame:
     ordered = F.sort_array(F.collect_list(F.struct("fork", "head")))
     c = m.groupBy("path").agg(ordered.alias("m"))
     c = c.select("path", F.array_join(F.transform("m", lambda x: F.concat_ws("@", x["fork"].cast("string"), x["head"].cast("string"))), ",").alias("signature"), F.size("m").cast("long").alias("forks"))
+    c = shared_table(c, "conflicts")
     return c.join(claim_states(c, claims), "path")
 
 

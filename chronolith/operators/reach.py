@@ -2,70 +2,79 @@
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_table
 
-def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """``df`` computed once: written under spark.checkpoint.dir if the session has one, else checkpointed by the session's folder or cached."""
-    spark = df.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        return df.cache()  # a local session: recomputed if lost
-    path = f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+COMPACT = 8  # rounds after which what was seen becomes one table
 
 
-def reach(roots: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
+def reach(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes that ``roots(node)`` lead to along ``edges(src, dst)``, with the least number of steps: node, depth.
 
-    A round joins the frontier only, and drops what was seen; rounds stop with an empty frontier.
+    A round joins the frontier only, and drops what was seen; rounds stop with an empty frontier, however deep the graph.
     """
     seen = shared_table(roots.select("node").distinct().withColumn("depth", F.lit(0)), "reach")
-    frontier = seen
-    for k in range(1, rounds + 1):
+    frontier, k = seen, 0
+    while True:
+        k += 1
         step = frontier.select(F.col("node").alias("src")).join(edges.select("src", "dst"), "src").select(F.col("dst").alias("node")).distinct()
         frontier = shared_table(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(k)), "reach")
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier)
-    raise ValueError(f"more than {rounds} steps")
+        if k % COMPACT == 0:
+            seen = shared_table(seen, "reach")
 
 
-def marks(roots: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
+def marks(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """Bit masks from ``roots(node, mask)`` along ``edges(src, dst, class_bit)``: node, mask.
 
     A mask goes along an edge only if it holds the edge's class; masks that meet
-    are united.  Only nodes whose mask grew go on; rounds stop when none did.
+    are united.  Only nodes whose mask grew go on, and a round writes these alone: what a node
+    has is the union of its rows.  Rounds stop when no mask grew.
     """
-    state = shared_table(roots.groupBy("node").agg(F.bit_or("mask").alias("mask")), "marks")
-    grown = state
-    for _ in range(rounds):
-        sent = grown.join(edges, grown["node"] == edges["src"]).where("mask & class_bit <> 0").groupBy("dst").agg(F.bit_or("mask").alias("got"))
-        both = state.join(sent, state["node"] == sent["dst"], "full_outer")
-        new = F.coalesce("mask", F.lit(0)).bitwiseOR(F.coalesce("got", F.lit(0)))
-        both = both.select(F.coalesce("node", "dst").alias("node"), new.alias("mask"), (~F.col("mask").eqNullSafe(new)).alias("grew"))
-        both = shared_table(both, "marks")
-        state, grown = both.select("node", "mask"), both.where("grew").select("node", "mask")
+    grown = shared_table(roots.groupBy("node").agg(F.bit_or("mask").alias("mask")), "marks")
+    state, k = grown, 0
+    while True:
+        k += 1
+        sent = grown.join(edges, grown["node"] == edges["src"]).where("mask & class_bit <> 0").groupBy(F.col("dst").alias("node")).agg(F.bit_or("mask").alias("got"))
+        held = state.join(sent.select("node"), "node", "left_semi").groupBy("node").agg(F.bit_or("mask").alias("mask"))
+        new = F.coalesce("mask", F.lit(0)).bitwiseOR(F.col("got"))
+        grown = sent.join(held, "node", "left").where(~F.col("mask").eqNullSafe(new)).select("node", new.alias("mask"))
+        grown = shared_table(grown, "marks")
         if grown.isEmpty():
-            return state
-    raise ValueError(f"more than {rounds} rounds")
+            return state.groupBy("node").agg(F.bit_or("mask").alias("mask"))
+        state = state.unionByName(grown)
+        if k % COMPACT == 0:
+            state = shared_table(state.groupBy("node").agg(F.bit_or("mask").alias("mask")), "marks")
 
 
-def merge_base(parents: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """First commits of ours' lineage that are met on the way from theirs: node.  ``parents(src, dst)``; one row is a merge base, more are ambiguous."""
-    lineage = reach(ours, parents)
-    stop = lineage.select("node")
-    frontier, found = theirs.select("node").distinct(), None
+def merge_base(parents: DataFrame, lineage: DataFrame, theirs: DataFrame) -> DataFrame:
+    """The commit of ``lineage(node)`` that every way from ``theirs(node)`` meets first: one row, verdict (found, none, ambiguous) and node.
+
+    A way ends at its first commit of the lineage, and no commit is visited twice, so cycles end too.
+    """
+    lineage = shared_table(lineage.select("node").distinct(), "lineage")
+    frontier = shared_table(theirs.select("node").distinct(), "frontier")
+    seen = frontier
+    hits: list[DataFrame] = []
+    k = 0
     while not frontier.isEmpty():
-        hit = frontier.join(stop, "node", "left_semi")
-        found = hit if found is None else found.unionByName(hit)
-        frontier = shared_table(frontier.join(stop, "node", "left_anti").join(parents, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct(), "frontier")
-    return (found if found is not None else frontier).distinct()
+        k += 1
+        hits.append(frontier.join(lineage, "node", "left_semi"))
+        on = frontier.join(lineage, "node", "left_anti").join(parents, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        frontier = shared_table(on.join(seen, "node", "left_anti"), "frontier")
+        seen = seen.unionByName(frontier)
+        if k % COMPACT == 0:
+            seen, hits = shared_table(seen, "seen"), [shared_table(reduce(DataFrame.unionByName, hits), "hits")]
+    found = reduce(DataFrame.unionByName, hits) if hits else frontier
+    n = found.distinct().agg(F.count("*").alias("n"), F.min("node").alias("node"))
+    return n.select(F.when(F.col("n") == 0, "none").when(F.col("n") == 1, "found").otherwise("ambiguous").alias("verdict"), F.when(F.col("n") == 1, F.col("node")).alias("node"))
 
 
 def bisect(checks: DataFrame) -> DataFrame:
@@ -83,7 +92,10 @@ def bisect(checks: DataFrame) -> DataFrame:
 
 
 def bisect_search(sequences: list[int], is_good) -> int | None:  # noqa: ANN001
-    """First bad of ascending sequences by binary search with any predicate, remembered per sequence; None if all are good."""
+    """First bad of ascending sequences by binary search with any predicate, remembered per sequence; None if the last is good.
+
+    A first sequence that is bad already has nothing good before it, which is an error.
+    """
     asked: dict[int, bool] = {}
 
     def good(i: int) -> bool:
@@ -97,4 +109,6 @@ def bisect_search(sequences: list[int], is_good) -> int | None:  # noqa: ANN001
     while hi - lo > 1:
         mid = (lo + hi) // 2
         lo, hi = (mid, hi) if good(mid) else (lo, mid)
+    if not hi:
+        raise ValueError("the first sequence is bad")
     return sequences[hi]

@@ -34,13 +34,13 @@ def shrink_candidates(files: DataFrame) -> DataFrame:
     return d.join(nested, "path", "left_anti")
 
 
-def merkle(files: DataFrame, levels: int | None = None) -> DataFrame:
+def merkle(files: DataFrame) -> DataFrame:
     """Identity of every directory from its children's names, kinds and identities: path, tree_id, children.  The top is the empty path.
 
     One aggregation a level from the deepest; the number of levels is read off the paths.
     """
     nodes = files.select("path", F.col("kind"), F.col("target").alias("id"), depth_of(F.col("path")).alias("depth"))
-    levels = levels or nodes.agg(F.max("depth")).first()[0] or 0
+    levels = nodes.agg(F.max("depth")).first()[0] or 0
     found: list[DataFrame] = []
     at = nodes.where(F.col("depth") == levels)
     for d in range(levels, 0, -1):

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from ..operators import diff as D
 from ..operators import radar as R
-from .model import TIMELINE_SQL, dirty_scopes, scopes_sql, timeline, tree, tree_sql
+from .model import TIMELINE_SQL, dirty_scopes, scopes_sql, timeline
 
 FAMILY = "family"
 CLAIMS = (("click/**", 1), ("click/3/*", 2), ("error/1/4", 1), ("error/?/5", 3), ("purchase/**", 4), ("view/*/7", 5), ("signup/2", 6))
@@ -33,8 +33,12 @@ def radar_conflicts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def radar_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Conflicts of a fork, and the first twenty of their paths: by ranks, of which none beyond twenty is kept."""
     m = R.members(dirty_scopes(spark, sf))
-    return m.groupBy("fork").agg(F.count("*").alias("conflicts"), F.array_join(F.slice(F.sort_array(F.collect_list("path")), 1, 20), ",").alias("first_paths"))
+    counts = m.groupBy("fork").agg(F.count("*").alias("conflicts"))
+    first = m.withColumn("rank", F.row_number().over(W.partitionBy("fork").orderBy("path"))).where("rank <= 20")
+    first = first.groupBy("fork").agg(F.array_join(F.sort_array(F.collect_list("path")), ",").alias("first_paths"))
+    return counts.join(first, "fork").select("fork", "conflicts", "first_paths")
 
 
 def radar_claim_states(spark: SparkSession, sf: str) -> DataFrame:
@@ -60,17 +64,6 @@ def radar_retained_forks(spark: SparkSession, sf: str) -> DataFrame:
     return s.join(alive, "fork", "left_semi").groupBy("scope").agg(F.count("*").alias("n"), F.countDistinct("fork").alias("forks"))
 
 
-def radar_scopes(spark: SparkSession, sf: str) -> DataFrame:
-    """Scopes that a fork's head makes against its base: path, scope, action, by kinds of both entries."""
-    d = D.diff(tree(spark, sf, "base"), tree(spark, sf, "theirs"))
-    both_dirs = (F.col("old_kind") == "Directory") & (F.col("new_kind") == "Directory")
-    flip = F.col("old_kind").isNotNull() & F.col("new_kind").isNotNull() & ((F.col("old_kind") == "Directory") != (F.col("new_kind") == "Directory"))
-    subtree = ((F.col("old_kind") == "Directory") & F.col("new_kind").isNull()) | F.coalesce(flip, F.lit(False))
-    d = d.where(~((F.col("new_kind") == "Directory") & F.col("old_kind").isNull()))  # an added directory is told by its leaves
-    d = d.select("path", F.coalesce(subtree, F.lit(False)).cast("int").alias("scope"), "action", F.coalesce(both_dirs, F.lit(False)).alias("both_dirs"))
-    return d.groupBy("scope", "action", "both_dirs").agg(F.count("*").alias("n"), F.min("path").alias("first_path"))
-
-
 def claim_overlaps(spark: SparkSession, sf: str) -> DataFrame:
     """Claims of other workspaces that may overlap: two literal lists, compared by their literal prefixes."""
     kinds = timeline(spark, sf).select("kind", "k").distinct()
@@ -86,13 +79,18 @@ _BOTH = f"WITH {TIMELINE_SQL}, {scopes_sql('s0', 0)}, {scopes_sql('s1', 1)}"
 
 
 def _pairs_sql(scopes: str, name: str) -> str:
+    """Every scope is spread over itself and the paths above it; forks that share an exact path, or a subtree's path, are a pair."""
     return f"""
+up AS (
+  SELECT fork, path AS own, scope, array_to_string(string_split(path, '/')[1 : unnest(range(1, len(string_split(path, '/')) + 1))], '/') AS above FROM {scopes}),
+meets AS (
+  SELECT above AS path, s.fork AS one, up.fork AS other, up.own, up.scope AS own_scope FROM up JOIN (SELECT fork, path FROM {scopes} WHERE scope = 1) s ON s.path = up.above WHERE s.fork <> up.fork),
 {name} AS (
-  SELECT DISTINCT CASE WHEN d1.scope = 1 THEN d1.path WHEN d2.scope = 1 THEN d2.path ELSE d1.path END AS path, d1.fork AS left_id, d2.fork AS right_id
-  FROM {scopes} d1 JOIN {scopes} d2 ON d1.fork < d2.fork AND split_part(d1.path, '/', 1) = split_part(d2.path, '/', 1) AND split_part(d1.path, '/', 2) = split_part(d2.path, '/', 2)
-  WHERE d1.scope = 0 AND d2.scope = 0 AND d1.path = d2.path
-     OR d1.scope = 1 AND (d2.path = d1.path OR starts_with(d2.path, d1.path || '/'))
-     OR d2.scope = 1 AND (d1.path = d2.path OR starts_with(d1.path, d2.path || '/')))"""
+  SELECT CASE WHEN own_scope = 1 AND other < one THEN own ELSE path END AS path, least(one, other) AS left_id, greatest(one, other) AS right_id FROM meets
+  UNION
+  SELECT path, left_id, right_id FROM (
+    SELECT path, unnest(forks) AS left_id, forks FROM (SELECT path, list_distinct(list(fork)) AS forks FROM {scopes} WHERE scope = 0 GROUP BY path)) g, unnest(g.forks) AS r(right_id)
+  WHERE left_id < right_id)"""
 
 
 def _members_sql(scopes: str, p: str) -> str:
@@ -138,13 +136,6 @@ QUERIES = {
     "radar_events": (radar_events, f"{_EVENTS_SQL} SELECT path, state, claim_state, conflict_id, event_id FROM ev"),
     "radar_events_again": (radar_events_again, f"{_EVENTS_SQL} SELECT state, count(*) AS n FROM ev WHERE state <> 'opened' GROUP BY 1"),
     "radar_retained_forks": (radar_retained_forks, f"{_S} SELECT scope, count(*) AS n, count(DISTINCT fork) AS forks FROM scopes WHERE fork IN (SELECT workspace FROM timeline WHERE kind = 'signup') GROUP BY 1"),
-    "radar_scopes": (radar_scopes, f"""WITH {tree_sql('base', 'theirs')},
-j AS (
-  SELECT coalesce(l.path, r.path) AS path, l.kind AS lk, r.kind AS rk, l.kind = 'Directory' AND r.kind = 'Directory' AS dd FROM base l FULL JOIN theirs r ON l.path = r.path
-  WHERE l.path IS NULL OR r.path IS NULL OR NOT (l.kind = r.kind AND l.mode = r.mode AND l.size = r.size AND l.mtime = r.mtime AND (l.kind = 'Directory' OR l.target = r.target)))
-SELECT CASE WHEN coalesce(lk = 'Directory' AND rk IS NULL, false) OR coalesce((lk = 'Directory') <> (rk = 'Directory'), false) THEN 1 ELSE 0 END AS scope,
-       CASE WHEN lk IS NULL THEN 'add' WHEN rk IS NULL THEN 'delete' ELSE 'modify' END AS action, coalesce(dd, false) AS both_dirs, count(*) AS n, min(path) AS first_path
-FROM j WHERE NOT coalesce(rk = 'Directory' AND lk IS NULL, false) GROUP BY 1, 2, 3"""),
     "claim_overlaps": (claim_overlaps, f"""WITH {TIMELINE_SQL}, c AS (SELECT DISTINCT kind, k, kind || '/' || k || '/' || CASE WHEN k % 2 = 0 THEN '*' ELSE 'a' END AS pattern, (k % 3)::BIGINT AS workspace FROM timeline),
 h(other, owner, p1, p2, p3) AS (VALUES ('click/**', 1::BIGINT, 'click', NULL, NULL), ('click/3/*', 2, 'click', '3', NULL), ('error/1/4', 1, 'error', '1', '4'), ('error/?/5', 3, 'error', NULL, NULL), ('purchase/**', 4, 'purchase', NULL, NULL), ('view/*/7', 5, 'view', NULL, NULL), ('signup/2', 6, 'signup', '2', NULL))
 SELECT pattern, workspace, other, owner FROM c JOIN h ON workspace <> owner AND p1 = kind AND coalesce(p2 = k::VARCHAR, true)

@@ -142,13 +142,9 @@ def budget_status(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def budget_backoff(spark: SparkSession, sf: str) -> DataFrame:
-    """Pressure is tried again after another 64 units or a day: rows of the log that would try, given the row before."""
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("workspace").orderBy("sequence")
-    t = timeline(spark, sf).withColumn("used", F.col("k") * 8)
-    t = t.withColumn("grown", F.col("used") - F.lag("used").over(w)).withColumn("waited", F.col("sealed_at") - F.lag("sealed_at").over(w))
-    return t.where("grown IS NULL OR grown >= 64 OR waited >= 86400").groupBy("workspace").agg(F.count("*").alias("tries"))
+    """Tries to free space, by workspace, in a log of usage that a try may or may not bring down."""
+    t = timeline(spark, sf).select("workspace", "sequence", (F.col("k") * 8).cast("long").alias("used"), F.col("sealed_at").alias("at"), (F.col("k") % 5 == 0).alias("satisfied"))
+    return logs.pressure_tries(t, growth=64).groupBy("workspace").agg(F.count("*").alias("tries"), F.max("sequence").alias("last"))
 
 
 def byte_sizes(spark: SparkSession, sf: str) -> DataFrame:
@@ -186,26 +182,29 @@ def kv_latest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _heads(spark: SparkSession, sf: str) -> DataFrame:
+    """Root trees of a workspace and its remote, as numbers: of now, of the last sync, and of what the remote was built on."""
     t = timeline(spark, sf)
-    at = lambda c: F.max(F.when(c, F.col("sequence")))
-    return t.groupBy("workspace").agg(at(F.col("k") % 3 == 0).alias("local"), at(F.col("k") % 4 == 0).alias("remote"), at(F.col("k") % 12 == 0).alias("common"), at((F.col("k") % 12 == 0) & (F.col("kind") != "view")).alias("synced"))
+    at = lambda c: F.max(F.when(F.expr(c), F.col("k")))
+    h = t.groupBy("workspace").agg(at("kind = 'click'").alias("local"), at("kind = 'signup'").alias("remote"), at("kind = 'view' AND sequence % 2 = 0").alias("base"), at("kind = 'click' AND sequence % 3 = 0").alias("synced_local"), at("kind = 'signup' AND sequence % 3 <> 0").alias("synced_remote"))
+    never = F.col("workspace") % 5 == 0
+    return h.select("workspace", "local", F.when(F.col("workspace") % 11 != 0, F.col("remote")).alias("remote"), "base", *(F.when(~never, F.col(c)).alias(c) for c in ("synced_local", "synced_remote")))
 
 
 _HEADS_SQL = """
 heads AS (
-  SELECT workspace, max(CASE WHEN k % 3 = 0 THEN sequence END) AS local, max(CASE WHEN k % 4 = 0 THEN sequence END) AS remote,
-         max(CASE WHEN k % 12 = 0 THEN sequence END) AS common, max(CASE WHEN k % 12 = 0 AND kind <> 'view' THEN sequence END) AS synced
+  SELECT workspace, max(k) FILTER (kind = 'click') AS local, CASE WHEN workspace % 11 <> 0 THEN max(k) FILTER (kind = 'signup') END AS remote, max(k) FILTER (kind = 'view' AND sequence % 2 = 0) AS base,
+         CASE WHEN workspace % 5 <> 0 THEN max(k) FILTER (kind = 'click' AND sequence % 3 = 0) END AS synced_local, CASE WHEN workspace % 5 <> 0 THEN max(k) FILTER (kind = 'signup' AND sequence % 3 <> 0) END AS synced_remote
   FROM timeline GROUP BY workspace)"""
 
 
 def sync_dispositions(spark: SparkSession, sf: str) -> DataFrame:
     h = _heads(spark, sf)
-    return h.select("workspace", logs.sync_disposition(F.col("local"), F.col("remote"), F.col("common")).alias("disposition"))
+    return h.select("workspace", logs.sync_disposition(F.col("local"), F.col("remote"), F.col("base"), F.col("synced_local"), F.col("synced_remote"), F.col("workspace") % 7 == 0).alias("disposition"))
 
 
 def follow_decisions(spark: SparkSession, sf: str) -> DataFrame:
     h = _heads(spark, sf)
-    return h.select("workspace", logs.follow_decision(F.col("local"), F.col("remote"), F.col("synced")).alias("decision"))
+    return h.select("workspace", logs.follow_decision(F.col("local"), F.col("remote"), F.col("synced_local"), F.col("synced_remote")).alias("decision"))
 
 
 def leases(spark: SparkSession, sf: str) -> DataFrame:
@@ -242,13 +241,25 @@ QUERIES = {
     "log_last_match": (last_match, f"{_T} SELECT kind, arg_max(workspace, sequence) AS workspace, max(sequence) AS sequence FROM timeline WHERE k % 2 = 0 GROUP BY 1"),
     "gc_byte_masks": (byte_masks, f"{_T} SELECT (CASE WHEN sequence % 211 = 0 OR age < 0 THEN 255 ELSE 71 + CASE WHEN age <= 2592000 THEN 32 ELSE 0 END + CASE WHEN age <= 259200 THEN 24 ELSE 0 END + CASE WHEN age <= 86400 THEN 128 ELSE 0 END END)::INT AS mask, count(*) AS n, min(sealed_at) AS oldest FROM (SELECT *, {NOW} - sealed_at AS age FROM timeline) GROUP BY 1"),
     "budget_status": (budget_status, f"SELECT workspace, used, greatest(used - 1500000, 0) AS over, greatest(1500000 - used, 0) AS free, used > 1500000 AS exceeded, {_SHOWN.format(n='used')} AS shown FROM (SELECT o_custkey AS workspace, sum(floor(o_totalprice)::BIGINT)::BIGINT AS used FROM orders GROUP BY 1)"),
-    "budget_backoff": (budget_backoff, f"{_T} SELECT workspace, count(*) AS tries FROM (SELECT workspace, k * 8 - lag(k * 8) OVER w AS grown, sealed_at - lag(sealed_at) OVER w AS waited FROM timeline WINDOW w AS (PARTITION BY workspace ORDER BY sequence)) WHERE grown IS NULL OR grown >= 64 OR waited >= 86400 GROUP BY 1"),
+    "budget_backoff": (budget_backoff, f"""WITH RECURSIVE {TIMELINE_SQL.strip()},
+r AS (SELECT workspace, sequence, k * 8 AS used, sealed_at AS t0, k % 5 = 0 AS satisfied, row_number() OVER (PARTITION BY workspace ORDER BY sequence) AS i FROM timeline),
+w AS (
+  SELECT workspace, sequence, i, true AS tried, CASE WHEN NOT satisfied THEN used END AS lu, CASE WHEN NOT satisfied THEN t0 END AS la FROM r WHERE i = 1
+  UNION ALL
+  SELECT workspace, sequence, i, t, CASE WHEN NOT t THEN lu WHEN NOT satisfied THEN used END, CASE WHEN NOT t THEN la WHEN NOT satisfied THEN t0 END
+  FROM (SELECT r.*, w.lu, w.la, (w.lu IS NULL OR r.used >= w.lu + 64 OR r.t0 - w.la >= 86400) AS t FROM w JOIN r ON r.workspace = w.workspace AND r.i = w.i + 1))
+SELECT workspace, count(*) AS tries, max(sequence) AS last FROM w WHERE tried GROUP BY 1"""),
     "value_byte_sizes": (byte_sizes, f"SELECT p_partkey, {_SHOWN.format(n='n')} AS shown, CASE p_partkey % 5 WHEN 0 THEN m WHEN 1 THEN m * 1024 WHEN 2 THEN m * 1048576 WHEN 3 THEN m * 1073741824 END::BIGINT AS parsed FROM (SELECT p_partkey, p_partkey * p_partkey * 997 AS n, p_partkey % 1000 AS m FROM part)"),
     "value_digests": (digests, f"{_T} SELECT sequence, sha256('snapshot' || chr(0) || sequence) AS object_id, substr(sha256('conflict' || chr(0) || workspace || chr(0) || kind || chr(0)), 1, 32) AS digest_id FROM timeline"),
     "value_labels": (labels, "SELECT conv_id, turn, 'agent=' || role || ' turn=' || turn AS label, role AS agent, turn AS parsed_turn FROM conversations"),
     "value_prefix_resolution": (prefix_resolution, f"{_T}, ids AS (SELECT DISTINCT snapshot_id AS s FROM timeline), w AS (SELECT substr(s, 1, 8) AS prefix FROM ids UNION SELECT substr(s, 1, 5) FROM ids UNION SELECT 'zz' || substr(s, 1, 8) FROM ids) SELECT prefix, CASE WHEN length(prefix) < 8 THEN 'too_short' ELSE CASE (SELECT count(*) FROM ids WHERE starts_with(s, prefix)) WHEN 0 THEN 'unknown' WHEN 1 THEN 'found' ELSE 'ambiguous' END END AS state FROM w"),
     "kv_latest": (kv_latest, f"{_T} SELECT workspace, k, sequence, kind FROM (SELECT *, row_number() OVER (PARTITION BY workspace, k ORDER BY sequence DESC) AS rn FROM timeline) WHERE rn = 1 AND kind <> 'error'"),
-    "sync_dispositions": (sync_dispositions, f"{_T}, {_HEADS_SQL} SELECT workspace, CASE WHEN local IS NULL THEN 'bootstrap' WHEN local = remote THEN 'up_to_date' WHEN common IS NOT DISTINCT FROM local THEN 'fast_forward' WHEN common IS NOT DISTINCT FROM remote THEN 'ahead' ELSE 'diverged' END AS disposition FROM heads"),
-    "sync_follow_decisions": (follow_decisions, f"{_T}, {_HEADS_SQL} SELECT workspace, CASE WHEN local IS NOT DISTINCT FROM remote THEN 'idle' WHEN remote IS NOT DISTINCT FROM synced THEN 'publish' WHEN local IS NOT DISTINCT FROM synced THEN 'pull' ELSE 'diverged' END AS decision FROM heads"),
+    "sync_dispositions": (sync_dispositions, f"""{_T}, {_HEADS_SQL},
+moves AS (SELECT *, base = local OR (base = synced_remote AND synced_local = local) AS onward FROM heads)
+SELECT workspace, CASE WHEN local IS NOT DISTINCT FROM remote THEN 'up_to_date' WHEN onward THEN 'fast_forwarded' WHEN workspace % 7 = 0 THEN 'bootstrapped' ELSE 'diverged' END AS disposition FROM moves"""),
+    "sync_follow_decisions": (follow_decisions, f"""{_T}, {_HEADS_SQL}
+SELECT workspace, 'publish' AS decision FROM heads WHERE remote IS NULL
+UNION ALL SELECT workspace, CASE WHEN local = remote THEN 'idle' ELSE 'pull' END FROM heads WHERE remote IS NOT NULL AND synced_remote IS NULL
+UNION ALL SELECT workspace, CASE WHEN synced_remote <> remote THEN 'pull' WHEN synced_local IS NOT DISTINCT FROM local THEN 'idle' ELSE 'publish' END FROM heads WHERE remote IS NOT NULL AND synced_remote IS NOT NULL"""),
     "sync_leases": (leases, f"{_T} SELECT a.sequence, coalesce(h.owner IS NULL OR h.owner = a.workspace OR h.expires_at <= {NOW - 86400} OR a.sequence % 17 = 0, false) AS allowed FROM timeline a LEFT JOIN (SELECT k, arg_max(workspace, sequence) AS owner, max(sealed_at) + 3600 AS expires_at FROM timeline WHERE kind = 'signup' GROUP BY 1) h USING (k) WHERE a.kind = 'purchase'"),
 }

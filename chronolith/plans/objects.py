@@ -111,7 +111,8 @@ def _commits(spark: SparkSession, sf: str) -> DataFrame:
 def merge_bases(spark: SparkSession, sf: str) -> DataFrame:
     c = _commits(spark, sf)
     tip = lambda k: table(spark, sf, "conversations").where(f"conv_id = {k}").groupBy("conv_id").agg(F.max("turn").alias("turn")).select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("node"))
-    return G.merge_base(c, tip(8), tip(10))
+    cases = [G.merge_base(c, G.reach(tip(a), c), tip(b)).select(F.lit(f"{a} {b}").alias("pair"), "verdict", "node") for a, b in ((8, 10), (8, 1))]
+    return cases[0].unionByName(cases[1])
 
 
 def bisect(spark: SparkSession, sf: str) -> DataFrame:
@@ -179,7 +180,12 @@ QUERIES = {
     "gc_marks": (gc_marks, f"{_E}, {_MASKS} SELECT * FROM marks"),
     "gc_report": (gc_report, f"{_E}, {_MASKS} SELECT live, count(*) AS objects, sum(len)::BIGINT AS payload, (sum(len) + count(*) * 82)::BIGINT AS projected FROM (SELECT floor(o_totalprice)::BIGINT AS len, 'o' || o_orderkey IN (SELECT node FROM marks) AS live FROM orders) GROUP BY 1"),
     "gc_roots": (gc_roots, "SELECT node, count(*) AS origins, string_agg(origin, ',' ORDER BY origin) AS names FROM (SELECT 'c' || c_custkey AS node, 'retained' AS origin FROM customer WHERE c_custkey % 4 <> 1 UNION ALL SELECT 'c' || c_custkey, 'restore' FROM customer WHERE c_custkey % 31 = 0 UNION ALL SELECT 'c' || c_custkey, 'incoming' FROM customer WHERE c_custkey % 37 = 0) GROUP BY 1"),
-    "graph_merge_base": (merge_bases, f"WITH RECURSIVE {_COMMITS}, a AS (SELECT '8:' || max(turn) AS node FROM conversations WHERE conv_id = 8 UNION SELECT p.dst FROM a JOIN parents p ON p.src = a.node), b AS (SELECT '10:' || max(turn) AS node FROM conversations WHERE conv_id = 10 UNION SELECT p.dst FROM b JOIN parents p ON p.src = b.node WHERE b.node NOT IN (SELECT node FROM a)) SELECT DISTINCT node FROM b WHERE node IN (SELECT node FROM a)"),
+    "graph_merge_base": (merge_bases, f"""WITH RECURSIVE {_COMMITS},
+tips AS (SELECT conv_id, conv_id || ':' || max(turn) AS node FROM conversations GROUP BY 1),
+a AS (SELECT node FROM tips WHERE conv_id = 8 UNION SELECT p.dst FROM a JOIN parents p ON p.src = a.node),
+b AS (SELECT conv_id, node FROM tips WHERE conv_id IN (10, 1) UNION SELECT b.conv_id, p.dst FROM b JOIN parents p ON p.src = b.node WHERE b.node NOT IN (SELECT node FROM a)),
+n AS (SELECT c AS conv_id, count(DISTINCT node) AS n, min(node) AS node FROM unnest([10, 1]) t(c) LEFT JOIN (SELECT * FROM b WHERE node IN (SELECT node FROM a)) h ON h.conv_id = c GROUP BY 1)
+SELECT '8 ' || conv_id AS pair, CASE n WHEN 0 THEN 'none' WHEN 1 THEN 'found' ELSE 'ambiguous' END AS verdict, CASE WHEN n = 1 THEN node END AS node FROM n"""),
     "graph_bisect": (bisect, "SELECT workspace, max(CASE WHEN good AND (fb IS NULL OR sequence < fb) THEN sequence END) AS last_good, any_value(fb) AS first_bad, ceil(log2(count(*)))::BIGINT AS probes FROM (SELECT conv_id AS workspace, turn AS sequence, length(text) < 250 AS good, min(CASE WHEN length(text) >= 250 THEN turn END) OVER (PARTITION BY conv_id) AS fb FROM conversations) GROUP BY 1"),
     "fork_cost": (fork_cost, "SELECT workspace, entries, ceil(bytes / 4096.0)::BIGINT AS blocks, greatest(10, ceil(entries * 15 / 100.0))::BIGINT AS seconds FROM (SELECT o_custkey AS workspace, count(*) AS entries, sum(floor(o_totalprice)::BIGINT)::BIGINT AS bytes FROM orders GROUP BY 1)"),
     "fork_tier": (fork_tier, "SELECT fork, cloned, copied, CASE WHEN copied = 0 THEN 'native-cow' WHEN cloned = 0 THEN 'streaming-copy' ELSE 'mixed' END AS tier FROM (SELECT l_suppkey AS fork, count(*) FILTER (l_returnflag = 'A') AS cloned, count(*) FILTER (l_returnflag = 'R' AND l_quantity > 49) AS copied FROM lineitem GROUP BY 1)"),

@@ -32,12 +32,10 @@ def path_classes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def path_globs(spark: SparkSession, sf: str) -> DataFrame:
-    p = project_paths(spark, sf)
-    hits = [p.where(F.col("path").rlike(P.glob_to_regex(g))).agg(F.count("*").alias("n")).select(F.lit(g).alias("pattern"), "n") for g in GLOBS]
-    out = hits[0]
-    for h in hits[1:]:
-        out = out.unionByName(h)
-    return out
+    """One scan: a count for each pattern, then a row for each."""
+    counts = project_paths(spark, sf).agg(*(F.count_if(F.col("path").rlike(P.glob_to_regex(g))).alias(f"n{i}") for i, g in enumerate(GLOBS)))
+    rows = F.array(*(F.struct(F.lit(g).alias("pattern"), F.col(f"n{i}").alias("n")) for i, g in enumerate(GLOBS)))
+    return counts.select(F.inline(rows))
 
 
 def path_policy(spark: SparkSession, sf: str) -> DataFrame:
@@ -121,7 +119,7 @@ def tree_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tree_merkle(spark: SparkSession, sf: str) -> DataFrame:
-    return T.merkle(leaves(spark, sf, "base"), 4)
+    return T.merkle(leaves(spark, sf, "base"))
 
 
 def tree_shrink(spark: SparkSession, sf: str) -> DataFrame:
@@ -142,9 +140,10 @@ def tree_same(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tree_sorted_unique(spark: SparkSession, sf: str) -> DataFrame:
-    t = tree(spark, sf, "base").withColumn("parent", P.parent_of(F.col("path")))
-    before = F.lag("path").over(W.partitionBy("parent").orderBy("path"))
-    return t.withColumn("before", before).groupBy("parent").agg(F.count("*").alias("entries"), F.count_if(F.col("before") >= F.col("path")).alias("out_of_order"))
+    """Names of a directory in the order in which they were pushed: those that don't follow the one before are faults."""
+    t = leaves(spark, sf, "base").select("k", P.parent_of(F.col("path")).alias("parent"), F.when(F.col("k") % 10 == 0, "same").otherwise(P.name_of(F.col("path"))).alias("name"))
+    before = F.lag("name").over(W.partitionBy("parent").orderBy("k"))
+    return t.withColumn("before", before).groupBy("parent").agg(F.count("*").alias("entries"), F.count_if(F.col("before") >= F.col("name")).alias("out_of_order"))
 
 
 def tree_cache_hits(spark: SparkSession, sf: str) -> DataFrame:
@@ -236,7 +235,7 @@ QUERIES = {
     "tree_remove": (tree_remove, f"WITH {tree_sql('ours')} SELECT kind, count(*) AS n FROM ours WHERE NOT {_in_rules(SELECTION)} GROUP BY 1"),
     "tree_children": (tree_children, f"{_B} SELECT path, kind FROM base WHERE regexp_replace(path, '/[^/]*$', '') = '1-URGENT/F' AND path > '1-URGENT/F/3' ORDER BY path LIMIT 25"),
     "tree_same": (tree_same, f"{_BO}, l AS (SELECT kind, mode, path, size, target FROM base), r AS (SELECT kind, mode, path, size, target FROM ours) SELECT 'left' AS side, kind, count(*) AS n FROM (SELECT * FROM l EXCEPT ALL SELECT * FROM r) GROUP BY 2 UNION ALL SELECT 'right', kind, count(*) FROM (SELECT * FROM r EXCEPT ALL SELECT * FROM l) GROUP BY 2"),
-    "tree_sorted_unique": (tree_sorted_unique, f"{_B} SELECT CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS parent, count(*) AS entries, 0::BIGINT AS out_of_order FROM base GROUP BY 1"),
+    "tree_sorted_unique": (tree_sorted_unique, f"{_F}, n AS (SELECT p || '/' || st || '/' || c AS parent, k, row_number() OVER (PARTITION BY p, st, c ORDER BY k) AS i, CASE WHEN k % 10 = 0 THEN 'same' ELSE k::VARCHAR END AS name FROM base_files) SELECT a.parent, count(*) AS entries, count(*) FILTER (b.name >= a.name) AS out_of_order FROM n a LEFT JOIN n b ON b.parent = a.parent AND b.i = a.i - 1 GROUP BY 1"),
     "tree_cache_hits": (tree_cache_hits, f"WITH {tree_sql('base', 'ours', dirs=False)} SELECT hit, count(*) AS n, sum(size)::BIGINT AS bytes FROM (SELECT o.size, b.path IS NOT NULL AS hit FROM ours_files o LEFT JOIN base_files b ON o.path = b.path AND o.size = b.size AND o.mtime = b.mtime AND o.kind = b.kind) GROUP BY 1"),
     "tree_clone_eligible": (tree_clone_eligible, f"{_BO}, {_diff_sql('base', 'ours')} SELECT kind, count(*) AS n, sum(size)::BIGINT AS bytes FROM ours WHERE path NOT IN (SELECT path FROM d) GROUP BY 1"),
 }

@@ -1,13 +1,9 @@
-"""Sources and sinks: directory captures, policy files, descriptors, record packs, NDJSON; and the folder that a cluster shares."""
+"""Sources and sinks: directory captures, policy files, record packs, NDJSON."""
 
 from __future__ import annotations
 
-import atexit
 import hashlib
-import shutil
 import struct
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,18 +17,6 @@ RECORD = struct.Struct(">4sBI")  # mark, kind, payload length; the payload and 3
 MARK = b"CRPK"
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; a local session without that setting gets its own."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="chronolith-")
-        atexit.register(shutil.rmtree, root, True)
-        root = f"file://{root}"
-    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
 def capture(spark: SparkSession, folder: str) -> DataFrame:
     """Files below a folder: path (relative), size, mtime, content digest, class, whether it is a SQLite database.
 
@@ -61,8 +45,12 @@ def write_ndjson(df: DataFrame, path: str) -> None:
 
 
 def read_ndjson(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of the schema, and a column ``_corrupt`` with lines that aren't of it."""
-    return spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").schema(f"{schema}, _corrupt string").json(path)
+    """Rows of the schema, and a column ``_corrupt`` with lines that aren't of it.
+
+    Lines are read as text and parsed by an expression, so the corrupt column can be asked for by itself.
+    """
+    row = F.from_json("value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    return spark.read.text(path).where("trim(value) <> ''").select(row.alias("row")).select("row.*")
 
 
 def pack_records(records: list[tuple[int, bytes]]) -> bytes:

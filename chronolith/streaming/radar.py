@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..sources.files import read_ndjson, shared_folder, write_ndjson
+from ..sources.files import read_ndjson, write_ndjson
+from ..sources.shared import shared_folder
 
 GAP = "1 hour"
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
