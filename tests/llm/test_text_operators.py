@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,69 @@ def test_pages(spark):
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ('<article><p data-id="related">keep</p><p id="search-for-gold">gold</p></article>', "keep\ngold"),
+    ('<article><p title="a>b">keep</p></article>', "keep"),
+    ('<article><div class="ad"><p>Body one.</p><div class="sidebar">BUY NOW</div><p>two</p></article>', "Body one.\ntwo"),
+    ('<article><p title="open>keep</p></article>', "keep"),
+    ("<article><ul>" + "<li><a href=x>Go</a></li>" * 4 + "</ul><p>text</p><p><a href=x>more</a></p></article>", "Go\nGo\ntext\nmore"),
+    ("<article><h1><a href=x>Head</a></h1><p>text</p></article>", "Head\ntext"),
+    ("<main><p>a</p><script>if (a<b) '</p>'</script><p>b", "a\nb"),
+])
+def test_awkward_markup(page, text):
+    assert H.main_text(page) == text
+
+
+class Plain(HTMLParser):
+    """Text of an article by the standard library's parser: blocks in order, what stands apart left out."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.part, self.article, self.out = [], [], 0, []
+
+    def cut(self):
+        text = " ".join("".join(self.part).split())
+        if text and self.article:
+            self.blocks.append(text)
+        self.part = []
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        if self.out:
+            self.out += [tag] * (tag == self.out[0])
+        elif tag in ("script", "style", "title", "nav", "header", "footer", "aside", "form", "head") or {"ad", "comments", "sidebar", "notice", "cookie"} & set((a.get("class") or "").split()):
+            self.cut()
+            self.out = [tag]
+        elif tag in H.BLOCKS:
+            self.cut()
+            self.article += tag == "article"
+        elif tag == "br":
+            self.part.append(" ")
+
+    def handle_endtag(self, tag):
+        if self.out:
+            if tag == self.out[0]:
+                self.out.pop()
+        elif tag in H.BLOCKS:
+            self.cut()
+            self.article -= tag == "article"
+
+    def handle_data(self, data):
+        if not self.out:
+            self.part.append(data)
+
+
+def test_pages_match_the_standard_parser(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in H.extract(pages).collect()}
+    for r in pages.collect():
+        plain = Plain()
+        plain.feed(r.html or "")
+        plain.close()
+        plain.cut()
+        assert got[r.page_id] == "\n".join(plain.blocks), r.page_id
+
+
 def test_quality_learns_from_the_training_fold_alone(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = {r.doc_id: r for r in Q.score_documents(docs, labels).collect()}
