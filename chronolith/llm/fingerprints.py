@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,17 +117,17 @@ def _finished(ids: list, texts: list[str], following: list[str], own: np.ndarray
     )
 
 
-def _with_edges(batch: pa.RecordBatch, text: list | None = None, role: list | None = None) -> pa.RecordBatch:
+def _with_edges(batch: pa.RecordBatch, text: list | None = None, role: list | None = None, stretch: list | None = None) -> pa.RecordBatch:
     n = len(batch)
     return pa.RecordBatch.from_arrays(
-        [*batch.columns, pa.array(text or [None] * n, pa.string()), pa.array(role or [None] * n, pa.string())],
-        names=[*batch.schema.names, "text", "edge"],
+        [*batch.columns, pa.array(text or [None] * n, pa.string()), pa.array(role or [None] * n, pa.string()), pa.array(stretch or [None] * n, pa.int32())],
+        names=[*batch.schema.names, "text", "edge", "stretch"],
     )
 
 
-def _edge_rows(rows: list[tuple]) -> pa.RecordBatch:
+def _edge_rows(rows: list[tuple], stretch: int) -> pa.RecordBatch:
     empty = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.nulls(len(rows), t) for t in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-    return _with_edges(empty, [r[1] for r in rows], [r[2] for r in rows])
+    return _with_edges(empty, [r[1] for r in rows], [r[2] for r in rows], [stretch] * len(rows))
 
 
 def _stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,24 +146,14 @@ def _stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(ids) > 1:
             yield _with_edges(_finished(ids[:-1], texts[:-1], texts[1:], prints[:-1], prints[1:]))
     if held:
-        yield _edge_rows([(*first, FIRST), (*held[:2], LAST)])
+        yield _edge_rows([(*first, FIRST), (*held[:2], LAST)], TaskContext.get().partitionId())
 
 
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """First and last rows of all stretches in order: each last row is followed by the next first row, the very last by the very first."""
-    head: str | None = None
-    waiting: tuple | None = None
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Last rows of stretches with the first text of the next one, row by row: doc_id, text, following."""
     for batch in batches:
-        for doc_id, text, edge in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            if edge == FIRST:
-                head = text if head is None else head
-                if waiting:
-                    yield _pair(waiting, text)
-                    waiting = None
-            else:
-                waiting = (doc_id, text)
-    if waiting:
-        yield _pair(waiting, head)
+        for doc_id, text, following in zip(*(batch.column(k) for k in range(3)), strict=True):
+            yield _pair((doc_id.as_py(), text.as_py()), following.as_py())
 
 
 def _pair(own: tuple, following: str) -> pa.RecordBatch:
@@ -178,13 +169,18 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     Null counts as empty.  Equal ids follow each other in the order of their
     texts, and rows without an id come last.  Fingerprints are hexadecimal; texts without words share
     one that is unlike all others.
-    Texts are sorted once, in stretches; only two rows of each stretch go on to meet their neighbours.
+    Texts are sorted once, in stretches; only two rows of each stretch go on to meet their neighbours, each pair by itself.
+    Repeated rows follow each other, long texts are hashed in blocks, an empty table gives no rows, and other columns are ignored.
     """
     docs = docs.select("doc_id", "text")
     stretches = min(max(docs.count() // PARTITION_ROWS, 8), MOST_PARTITIONS)
     order = F.col("doc_id").desc_nulls_last()
     ranged = docs.repartitionByRange(stretches, order).sortWithinPartitions(order, "text")
-    found = materialize(ranged.mapInArrow(_stretch, f"{_SCHEMA}, text string, edge string"), "stretches")
+    found = materialize(ranged.mapInArrow(_stretch, f"{_SCHEMA}, text string, edge string, stretch int"), "stretches")
     names = [c.split()[0] for c in _SCHEMA.split(", ")]
-    edges = found.where("edge IS NOT NULL").select("doc_id", "text", "edge").repartition(1).sortWithinPartitions(order, "text", "edge")
-    return found.where("edge IS NULL").select(*names).unionByName(edges.mapInArrow(_edges, _SCHEMA))
+    first, last = (found.where(F.col("edge") == e).select("stretch", "doc_id", "text") for e in (FIRST, LAST))
+    # the numbers of the stretches that have rows, at most so many as there are stretches; after the last comes the first
+    numbers = sorted(r.stretch for r in first.select("stretch").collect())
+    after = docs.sparkSession.createDataFrame(list(zip(numbers, [*numbers[1:], *numbers[:1]], strict=True)), "stretch int, following int")
+    edges = last.join(F.broadcast(after), "stretch").join(first.select(F.col("stretch").alias("following"), F.col("text").alias("next_text")), "following")
+    return found.where("edge IS NULL").select(*names).unionByName(edges.select("doc_id", "text", "next_text").mapInArrow(_pairs, _SCHEMA))
