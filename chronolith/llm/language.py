@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ CENTROIDS, ITERATIONS = 4, 10
 SAMPLE = 400  # training texts a language that the clusters are fitted on, about; document frequencies come from all of them
 REJECT_QUANTILE, SHARPNESS = 0.005, 25.0
 UNDETERMINED = "und"
-_CHUNK = 1 << 20
+_CHUNK = 1 << 20  # bytes that are mapped at a time; trigrams run on across
 
 _MAP = np.full(256, 0x20, dtype=np.uint8)  # what is no letter becomes a space; bytes beyond ASCII stay
 _MAP[0x80:] = np.arange(0x80, 0x100)
@@ -29,26 +30,31 @@ _ASCII_LETTER[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1)]]
 
 
 def counts(data: np.ndarray) -> np.ndarray:
-    """Trigram counts of one text in UTF-8, by hash; runs of other characters than letters count as one space."""
-    x = np.concatenate(([0x20], _MAP[data], [0x20])).astype(np.uint32)
-    keep = np.ones(len(x), dtype=bool)
-    keep[1:] = (x[1:] != 0x20) | (x[:-1] != 0x20)
-    x = x[keep]
-    code = ((x[:-2] << 16) | (x[1:-1] << 8) | x[2:]) * np.uint32(2654435761)
-    return np.bincount(code >> np.uint32(32 - 13), minlength=DIMENSIONS)
+    """Trigram counts of one text in UTF-8, by hash; runs of other characters than letters count as one space, and a space stands at both ends."""
+    out = np.zeros(DIMENSIONS, dtype=np.int64)
+    last = np.full(1, 0x20, dtype=np.uint8)  # the last two characters so far, or fewer
+    for at in range(0, len(data) + 1, _CHUNK):
+        part = _MAP[data[at : at + _CHUNK]]
+        x = np.concatenate((last, part) if at + _CHUNK <= len(data) else (last, part, [0x20])).astype(np.uint32)
+        keep = np.ones(len(x), dtype=bool)
+        keep[1:] = (x[1:] != 0x20) | (x[:-1] != 0x20)
+        x = x[keep]
+        code = ((x[:-2] << 16) | (x[1:-1] << 8) | x[2:]) * np.uint32(2654435761)
+        out += np.bincount(code >> np.uint32(32 - 13), minlength=DIMENSIONS)
+        last = x[-2:].astype(np.uint8)
+    return out
 
 
 def _text_counts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, bool]]:
-    """(row, counts, whether the text has a letter) for each row; a long text is counted piece by piece."""
+    """(row, counts, whether the text has a letter) for each row."""
     column = column.cast(pa.large_string()).fill_null("")
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else [0]
     buf = column.buffers()[2] if len(column) else None
     data = np.frombuffer(buf, dtype=np.uint8) if buf is not None else np.zeros(0, dtype=np.uint8)
     for r in range(len(column)):
         text = data[offsets[r] : offsets[r + 1]]
-        c = sum((counts(text[max(0, at - 2) : at + _CHUNK]) for at in range(0, len(text), _CHUNK)), np.zeros(DIMENSIONS, dtype=np.int64))
         letter = bool(_ASCII_LETTER[text].any()) or any(map(str.isalpha, column[r].as_py()))
-        yield r, c, letter
+        yield r, counts(text), letter
 
 
 @dataclass(frozen=True)
@@ -112,7 +118,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Centroids | None:
     """Fits on documents with a language outside the held-out fold; None if there are none.
 
     Document frequencies cover every one of them.  Clusters are fitted on about
-    ``sample`` texts a language, those of least id hash, whose counts come to the driver.
+    ``sample`` texts a language, those of least id hash, a language in a task; their centroids come to the driver.
     """
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text").where(~held_out(F.col("doc_id")))
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -125,20 +131,23 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Centroids | None:
     for r in found.where("df IS NOT NULL").select(F.posexplode("df").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect():
         df[r.i] = r.n
     idf = np.log((1.0 + total) / (1.0 + df)) + 0.1
-    vectors: dict[str, list[np.ndarray]] = {}
-    for r in found.where("counts IS NOT NULL").select("lang", "counts").orderBy("lang", "counts").toLocalIterator():
-        vectors.setdefault(r.lang, []).append(np.frombuffer(r.counts, dtype="<i4"))
-    if not vectors:
-        return None
     base = Centroids(idf, np.zeros((0, 0)), np.zeros(0), [], np.zeros(0))
-    matrix, owner, floor, languages = [], [], [], sorted(vectors)
-    for k, lang in enumerate(languages):
-        x = base.vectors(np.array(vectors[lang]))
+
+    def clustered(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The sample of one language, about ``sample`` rows, to its centroids and its least usual similarity."""
+        x = base.vectors(np.array([np.frombuffer(c, dtype="<i4") for c in sorted(pdf["counts"])]))
         c = cluster(x)
-        matrix.append(c)
-        owner += [k] * len(c)
-        floor.append(np.quantile((x @ c.T).max(axis=1), REJECT_QUANTILE))
-    return Centroids(idf.astype(np.float32), np.vstack(matrix).T.astype(np.float32), np.array(owner), languages, np.array(floor))
+        floor = float(np.quantile((x @ c.T).max(axis=1), REJECT_QUANTILE))
+        return pd.DataFrame({"lang": pdf["lang"].iloc[:1].tolist(), "centroids": [c.astype("<f4").tobytes()], "floor": [floor]})
+
+    sampled = found.where("counts IS NOT NULL").select("lang", "counts")
+    fitted = sampled.groupBy("lang").applyInPandas(clustered, "lang string, centroids binary, floor double")
+    rows_ = sorted(fitted.collect(), key=lambda r: r.lang)  # a few centroids for each language
+    if not rows_:
+        return None
+    matrices = [np.frombuffer(r.centroids, dtype="<f4").reshape(-1, DIMENSIONS) for r in rows_]
+    owner = np.repeat(np.arange(len(rows_)), [len(m) for m in matrices])
+    return Centroids(idf.astype(np.float32), np.vstack(matrices).T.copy(), owner, [r.lang for r in rows_], np.array([r.floor for r in rows_]))
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -149,6 +158,8 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     letter, and where nothing could be learned.  ``score`` weighs the nearest centroid of the
     language against those of the others; ``rejected`` marks texts that are
     further from it than all but a few training texts.  Rows without an id are predicted too.
+    Repeated rows are predicted alike, texts of any length are counted whole, an empty table gives no rows,
+    and other columns of ``docs`` are ignored.
     """
     model = train(docs, sample)
 
