@@ -2,40 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder
+
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 ROW_GROUP = 16 << 20  # bytes that a writing task buffers
 BROADCAST_ROWS = 200_000  # keys that are copied to every executor at most: some 10 MB there
 HOT_ROWS, HOT_SHARE = 100_000, 1000  # a key is hot with more rows than this, and more than one in so many of all
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only a local session without one gets its own folder.
-
-    A cluster without the setting is an error: its executors share no local folder.
-    """
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    set_dir = sc._jsc.sc().getCheckpointDir()
-    if set_dir.isDefined():
-        return set_dir.get().rstrip("/")
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    own = tempfile.mkdtemp(prefix="chronolith-")
-    atexit.register(shutil.rmtree, own, True)
-    sc.setCheckpointDir(f"file://{own}")
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Batches to Python end at ``BATCH_ROWS`` rows or ``BATCH_BYTES``, whichever comes first: whole texts may be long, and every running task holds a few batches."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) not in range(1, BATCH_ROWS + 1):
@@ -47,7 +24,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back: computed once, lineage cut, lost executors harmless."""
     spark = df.sparkSession
     bounded_batches(spark)
-    path = f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = shared_folder(spark, name)
     df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
