@@ -9,12 +9,13 @@
 2. One document stands for its class, so copies never meet each other.
 3. 32 bands of 4 registers are hashed.  In each band bucket the least document
    is the hub; (hub, member) pairs whose collision-corrected estimate reaches
-   ``ESTIMATE_FLOOR`` are verified on the full shingle sets.
+   ``ESTIMATE_FLOOR``, and all with a set of at most ``SMALL`` shingles, are verified on the full shingle sets.
 4. Pairs without the hub matter only where a bucket still holds several
-   components.  Such buckets are compared inside, in blocks, on the sketches;
-   documents with a partner left are sent once to each bucket that first joins
-   them, and are verified there, skipping what is linked already.  Rows stay
-   linear in the bucket memberships; nothing is capped or dropped.
+   components.  What lies outside a bucket's largest component is compared with all
+   of it, in blocks, on the sketches: rows grow with the blocks outside, so with the
+   square of a bucket only if it falls into many components.  Documents with a
+   partner left are sent once to each bucket that first joins them, and are
+   verified there, skipping what is linked already; nothing is capped or dropped.
 5. Verified links are contracted to components.
 
 A pair at similarity 0.75 shares no band with probability 5e-6 at most
@@ -238,7 +239,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75) -> Dat
     own.  Rows that share a doc_id come back once each, by their own texts; as
     representatives they are one node.
     A row without a doc_id keeps its n_shingles, and has a null component and
-    kept = false.  Other columns of ``docs`` are ignored.
+    kept = false.  Texts of any length are taken whole, an empty table gives no rows, and
+    other columns of ``docs`` are ignored.
     """
     if percent < 75:
         raise ValueError("bands and floor are laid out for similarities of 0.75 and more")
@@ -319,3 +321,21 @@ def keep_first(docs: DataFrame, shingle: int = 5, percent: int = 75) -> DataFram
     several = rows.join(keyed_side(found.where("kept AND copies > 1").select("doc_id")), "doc_id").select("doc_id", F.to_json("doc").alias("text_of"), "doc")
     several = several.groupBy("doc_id").agg(F.min_by("doc", "text_of").alias("doc"))
     return rows.join(gone, "doc_id", "left_anti").unionByName(several).select("doc.*")
+
+
+#: The same rows in DuckDB: all pairs that share a shingle, and the closure of the links.
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, hash(g) AS g FROM (
+    SELECT doc_id, array_to_string(ws, ' ') AS g FROM w WHERE len(ws) BETWEEN 1 AND 4
+    UNION ALL SELECT doc_id, array_to_string(ws[i : i + 4], ' ') FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) > 4))),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.y FROM r JOIN e ON e.x = r.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, m.c = d.doc_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS c FROM r GROUP BY 1) m ON m.a = d.doc_id
+"""
