@@ -2,7 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next stage's ``docs``; all but the last return
-the columns of ``documents``.
+the columns of ``documents``, and others that a table has beside them, whatever their names.
+
+In every stage an empty table gives no rows, repeated rows are treated alike
+but for near-dedup, which keeps one, and texts of any length are taken whole.
+Null and empty texts: scored as empty, without lines to drop, nobody's
+duplicate, left out by mixing as they have no words, and packed as the end
+token alone.  Rows without a doc_id go through all stages.
 """
 
 from __future__ import annotations
