@@ -65,7 +65,10 @@ def transitions(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) ->
         now = len(dirty)
         if max(before, now) >= 2:
             out.append((k, sequence, "opened" if before < 2 else "resolved" if now < 2 else "updated", now))
-    state.update((sorted(int(x) for x in dirty),))
+    if dirty:
+        state.update((sorted(int(x) for x in dirty),))
+    elif state.exists:
+        state.remove()  # nobody changes the path any more
     yield pd.DataFrame(out, columns=["k", "sequence", "state", "forks"]).astype({"k": "int32", "sequence": "int64", "state": "object", "forks": "int64"})
 
 

@@ -3,12 +3,12 @@
 import pytest
 
 from chronolith.plans import catalog, exchange, forks, history, objects, states
-from chronolith.streaming import radar
+from chronolith.streaming import follow, radar
 
 from .oracle import connect, same
 
 SF = "/root/testdata/sf0.001"
-ALL = {**history.QUERIES, **states.QUERIES, **forks.QUERIES, **objects.QUERIES, **exchange.QUERIES, **catalog.QUERIES, **radar.QUERIES}
+ALL = {**history.QUERIES, **states.QUERIES, **forks.QUERIES, **objects.QUERIES, **exchange.QUERIES, **catalog.QUERIES, **radar.QUERIES, **follow.QUERIES}
 
 
 @pytest.fixture(scope="module")
