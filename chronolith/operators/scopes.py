@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import radar_ignored
 from ..functions.paths import with_ancestors
+from ..sources.shared import shared_table
 from .diff import paired
 
 EXACT, SUBTREE = 0, 1
@@ -31,7 +32,7 @@ def visited(before: DataFrame, after: DataFrame) -> DataFrame:
     p = paired(before, after)
     every = [c for c in before.columns if c != "path"]
     present = F.col("l.kind").isNull() != F.col("r.kind").isNull()
-    p = p.where(present | ~_same(tuple(every))).select("path", (_is_dir("l") != _is_dir("r")).alias("broken"))
+    p = shared_table(p.where(present | ~_same(tuple(every))).select("path", (_is_dir("l") != _is_dir("r")).alias("broken")), "differences")
     broken = p.where("broken").select(F.col("path").alias("above"))
     below = with_ancestors(p.select("path")).join(broken, "above", "left_semi").select("path").distinct()
     return p.select("path").join(below, "path", "left_anti")
@@ -45,7 +46,7 @@ def recompute(base: DataFrame, head: DataFrame, paths: DataFrame) -> DataFrame:
     directory is told by its relevant leaves, or by itself without any; other entries by add, modify, delete.
     Classes that are made again, and control paths, make no scope.
     """
-    p = paths.select("path").distinct().where(~radar_ignored(F.col("path"))).join(paired(base, head), "path")
+    p = shared_table(paths.select("path").distinct().where(~radar_ignored(F.col("path"))).join(paired(base, head), "path"), "changed")
     left, right = F.col("l.kind").isNotNull(), F.col("r.kind").isNotNull()
     relevant = lambda side: F.coalesce(F.col(f"{side}.class").isin(*RELEVANT), F.lit(False))
     flip = left & right & (_is_dir("l") != _is_dir("r"))
@@ -61,7 +62,7 @@ def recompute(base: DataFrame, head: DataFrame, paths: DataFrame) -> DataFrame:
     own = p.select("path", scope.alias("s")).where("s IS NOT NULL").select("path", F.col("s.col1").alias("scope"), F.col("s.col2").alias("action"))
     added = p.where(_is_dir("r") & ~left).select(F.col("path").alias("above"), relevant("r").alias("relevant"))
     leaves = head.where((F.col("kind") != "Directory") & F.col("class").isin(*RELEVANT) & ~radar_ignored(F.col("path"))).select("path")
-    told = with_ancestors(leaves).join(added, "above").select("above", "path")
+    told = shared_table(with_ancestors(leaves).join(added, "above").select("above", "path"), "leaves")
     bare = added.where("relevant").join(told, "above", "left_anti").select(F.col("above").alias("path"))
     new = told.select("path").unionByName(bare).select("path", F.lit(EXACT).alias("scope"), F.lit("add").alias("action"))
     return own.unionByName(new).distinct()
@@ -75,8 +76,8 @@ def observe(base: DataFrame, head: DataFrame, previous: DataFrame | None = None,
     A path that is a directory in one of base and head alone takes its stored descendants with it;
     scopes below a directory that both lack, as it came and went between, stay until they are told anew.
     """
-    paths = visited(base if previous is None else previous, head)
-    new = recompute(base, head, paths)
+    paths = shared_table(visited(base if previous is None else previous, head), "visited")
+    new = shared_table(recompute(base, head, paths), "scopes")
     if previous is None or stored is None:
         return new
     at = paths.join(paired(base, head), "path", "left").select("path", (_is_dir("l") != _is_dir("r")).alias("structural"))
