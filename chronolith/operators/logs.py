@@ -81,6 +81,33 @@ def pressure_tries(log: DataFrame, growth: int = RETRY_GROWTH, after: int = RETR
     return rows.mapInPandas(walk, "workspace long, sequence long")
 
 
+def last_leases(log: DataFrame) -> DataFrame:
+    """``log(key, workspace, sequence, at, ttl)`` of asks to each holder's last lease: key, workspace, expires_at, begun (how many leases it had).
+
+    A lease is not prolonged by asking again; an ask at its end or later begins the next.  Asks depend on each other in
+    their order, so they come sorted by holder, and a task keeps one lease.
+    """
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["key", "workspace", "expires_at", "begun"]
+        now: list | None = None
+        for pdf in batches:
+            out = []
+            for key, w, at, ttl in zip(*(pdf[c].tolist() for c in ("key", "workspace", "at", "ttl")), strict=True):
+                if now is None or now[:2] != [key, w]:
+                    if now is not None:
+                        out.append(tuple(now))
+                    now = [key, w, at + ttl, 1]
+                elif at >= now[2]:
+                    now[2:] = [at + ttl, now[3] + 1]
+            yield pd.DataFrame(out, columns=names)
+        if now is not None:
+            yield pd.DataFrame([tuple(now)], columns=names)
+
+    asks = log.select("key", "workspace", "sequence", "at", "ttl").repartition("key", "workspace").sortWithinPartitions("key", "workspace", "sequence")
+    return asks.mapInPandas(walk, "key string, workspace long, expires_at long, begun long")
+
+
 def lease_allows(owner: Column, asks: Column, expires_at: Column, now: int, takeover: Column) -> Column:
     """A writer lease lets its owner in, and others when it is free, has expired or is taken over."""
     return owner.isNull() | (owner == asks) | (expires_at <= now) | takeover

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.shared import shared_table
+from .retention import BLOCK_BITS
 
 COMPACT = 8  # rounds after which what was seen becomes one table
 
@@ -82,12 +83,15 @@ def bisect(checks: DataFrame) -> DataFrame:
 
     For histories that turn bad once, with every answer at hand; ``probes`` is the number of answers that a search would ask for.
     """
-    w = W.partitionBy("workspace")
-    rows = checks.withColumn("first_bad", F.min(F.when(~F.col("good"), F.col("sequence"))).over(w))
-    a = rows.groupBy("workspace").agg(
-        F.max(F.when(F.col("good") & (F.col("first_bad").isNull() | (F.col("sequence") < F.col("first_bad"))), F.col("sequence"))).alias("last_good"),
-        F.first("first_bad").alias("first_bad"), F.count("*").alias("n"),
-    )
+    # inside blocks of sequences, then over their rows: a workspace may hold most of the answers
+    block = F.shiftright(F.col("sequence").cast("long"), BLOCK_BITS)
+    bad = F.min(F.when(~F.col("good"), F.col("sequence"))).over(W.partitionBy("workspace", "block"))
+    rows = checks.select("workspace", "sequence", "good", block.alias("block")).withColumn("bad", bad)
+    before = F.col("good") & (F.col("bad").isNull() | (F.col("sequence") < F.col("bad")))
+    blocks = rows.groupBy("workspace", "block").agg(F.min("bad").alias("bad"), F.max(F.when(before, F.col("sequence"))).alias("good"), F.count("*").alias("n"))
+    blocks = blocks.withColumn("first_bad", F.min("bad").over(W.partitionBy("workspace")))
+    earlier = F.col("first_bad").isNull() | (F.col("block") <= F.shiftright(F.col("first_bad").cast("long"), BLOCK_BITS))
+    a = blocks.groupBy("workspace").agg(F.max(F.when(earlier, F.col("good"))).alias("last_good"), F.max("first_bad").alias("first_bad"), F.sum("n").alias("n"))
     return a.select("workspace", "last_good", "first_bad", F.ceil(F.log2(F.col("n").cast("double"))).cast("long").alias("probes"))
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.values import DAY, HOUR, WEEK, bucket
 
+BLOCK_BITS = 18  # a block spans 2^18 consecutive sequences
+
 
 def tiers(log: DataFrame, now: int) -> DataFrame:
     """Adds tier (all, hour, day, week) and bucket by the age of sealed_at; ages at a bound and below zero belong to the finer side."""
@@ -31,21 +33,62 @@ def retained(log: DataFrame, pins: DataFrame, now: int) -> DataFrame:
     return t.join(chosen, ["workspace", "sequence"], "left").where("tier = 'all' OR pinned OR chosen").drop("pinned", "chosen", "bucket")
 
 
+def _block(order: str) -> Column:
+    return F.shiftright(F.col(order).cast("long"), BLOCK_BITS)
+
+
+def with_previous(log: DataFrame, keys: list[str], order: str, named: dict[str, str]) -> DataFrame:
+    """Adds, by the new name in ``named``, columns of the row before in its key's order; null in a key's first row.
+
+    A key's rows are dealt to blocks of consecutive orders, so that one that holds most of the log is many tasks'
+    work; only a block's last row, one row a block, meets the other blocks of its key.
+    """
+    taken = F.struct(*(F.col(c).alias(n) for n, c in named.items()))
+    blocks = [*keys, "_block"]
+    rows = log.withColumn("_block", _block(order))
+    ends = rows.groupBy(*blocks).agg(F.max_by(taken, order).alias("_end"))
+    ends = ends.select(*blocks, F.lag("_end").over(W.partitionBy(*keys).orderBy("_block")).alias("_end"))
+    inside = F.lag(taken).over(W.partitionBy(*blocks).orderBy(order))
+    rows = rows.withColumn("_before", inside).join(ends, blocks, "left")
+    before = F.coalesce("_before", "_end")
+    return rows.select(*log.columns, *(before[n].alias(n) for n in named))
+
+
+def running_sum(log: DataFrame, keys: list[str], order: str, value: str, name: str) -> DataFrame:
+    """Adds the sum of ``value`` up to each row in its key's order: over blocks as ``with_previous``, and inside each."""
+    blocks = [*keys, "_block"]
+    rows = log.withColumn("_block", _block(order))
+    upto = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    sums = rows.groupBy(*blocks).agg(F.sum(value).alias("_sum")).select(*blocks, F.sum("_sum").over(upto).alias("_earlier"))
+    inside = F.sum(value).over(W.partitionBy(*blocks).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    rows = rows.withColumn("_inside", inside).join(sums, blocks, "left")
+    return rows.select(*log.columns, (F.col("_inside") + F.coalesce("_earlier", F.lit(0))).alias(name))
+
+
 def ranges(rows: DataFrame) -> DataFrame:
-    """Runs of consecutive sequences: workspace, first, last, n."""
-    w = W.partitionBy("workspace").orderBy("sequence")
-    island = rows.select("workspace", "sequence", (F.col("sequence") - F.row_number().over(w)).alias("island"))
-    return island.groupBy("workspace", "island").agg(F.min("sequence").alias("first"), F.max("sequence").alias("last"), F.count("*").alias("n")).drop("island")
+    """Runs of consecutive sequences: workspace, first, last, n.
+
+    Runs are made inside blocks; only those that reach an end of their block, two a block at most, are joined across blocks.
+    """
+    r = rows.select("workspace", "sequence", _block("sequence").alias("block"))
+    island = F.col("sequence") - F.row_number().over(W.partitionBy("workspace", "block").orderBy("sequence"))
+    parts = r.withColumn("island", island).groupBy("workspace", "block", "island").agg(F.min("sequence").alias("first"), F.max("sequence").alias("last"), F.count("*").alias("n"))
+    # a run at an end of its block: the sequence on the other side belongs to the next block
+    edge = (F.shiftright(F.col("first") - 1, BLOCK_BITS) != F.col("block")) | (F.shiftright(F.col("last") + 1, BLOCK_BITS) != F.col("block"))
+    parts = parts.withColumn("edge", edge)
+    by_first = W.partitionBy("workspace").orderBy("first")
+    at_edges = parts.where("edge").withColumn("new", (~F.lag("last").over(by_first).eqNullSafe(F.col("first") - 1)).cast("int"))
+    at_edges = at_edges.withColumn("run", F.sum("new").over(by_first.rowsBetween(W.unboundedPreceding, 0)))
+    joined = at_edges.groupBy("workspace", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
+    return parts.where("NOT edge").select("workspace", "first", "last", "n").unionByName(joined.drop("run"))
 
 
 def chain_breaks(log: DataFrame) -> DataFrame:
     """Rows of ``log(workspace, sequence, previous, hash)`` that don't follow their predecessor: a sequence that doesn't grow, or a hash that isn't named."""
-    w = W.partitionBy("workspace").orderBy("position")
-    prev = log.withColumn("before", F.lag("sequence").over(w)).withColumn("named", F.lag("hash").over(w))
+    prev = with_previous(log, ["workspace"], "position", {"before": "sequence", "named": "hash"})
     return prev.where("before IS NOT NULL AND (sequence <= before OR NOT (previous <=> named))").select("workspace", "sequence")
 
 
 def without_repeats(log: DataFrame) -> DataFrame:
     """Rows whose snapshot differs from the one before."""
-    w = W.partitionBy("workspace").orderBy("sequence")
-    return log.withColumn("before", F.lag("snapshot_id").over(w)).where("NOT (snapshot_id <=> before)").drop("before")
+    return with_previous(log, ["workspace"], "sequence", {"before": "snapshot_id"}).where("NOT (snapshot_id <=> before)").drop("before")

@@ -65,10 +65,8 @@ def ranges_valid(spark: SparkSession, sf: str) -> DataFrame:
 def chain_breaks(spark: SparkSession, sf: str) -> DataFrame:
     t = timeline(spark, sf)
     # a log whose every 501st row names the wrong predecessor
-    from pyspark.sql import Window as W
-
-    named = F.lag("snapshot_id").over(W.partitionBy("workspace").orderBy("sequence"))
-    log = t.select("workspace", F.col("sequence").alias("position"), "sequence", F.col("snapshot_id").alias("hash"), F.when(F.col("sequence") % 501 == 0, "?").otherwise(named).alias("previous"))
+    t = retention.with_previous(t, ["workspace"], "sequence", {"named": "snapshot_id"})
+    log = t.select("workspace", F.col("sequence").alias("position"), "sequence", F.col("snapshot_id").alias("hash"), F.when(F.col("sequence") % 501 == 0, "?").otherwise(F.col("named")).alias("previous"))
     return retention.chain_breaks(log)
 
 
@@ -136,9 +134,15 @@ def byte_masks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def budget_status(spark: SparkSession, sf: str) -> DataFrame:
+    """Usage against both limits: the most a store may take, and the least that its disk keeps free."""
     o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("workspace")).agg(F.sum(F.floor("o_totalprice").cast("long")).alias("used"))
-    budget = F.lit(1_500_000).cast("long")
-    return o.select("workspace", "used", V.saturating_sub(F.col("used"), budget).alias("over"), V.saturating_sub(budget, F.col("used")).alias("free"), (F.col("used") > budget).alias("exceeded"), V.human_bytes(F.col("used")).alias("shown"))
+    budget, reserved = F.lit(1_500_000).cast("long"), F.lit(300_000).cast("long")
+    used, available = F.col("used"), V.saturating_sub(F.lit(3_000_000).cast("long"), F.col("used") + F.col("workspace") % 7 * 250_000)
+    over, below = V.saturating_sub(used, budget), V.saturating_sub(reserved, available)
+    return o.select(
+        "workspace", "used", over.alias("over"), V.saturating_sub(budget, used).alias("free"), (used > budget).alias("exceeded"), V.human_bytes(used).alias("shown"),
+        available.alias("available"), below.alias("below_reserved"), ((over == 0) & (below == 0)).alias("satisfied"),
+    )
 
 
 def budget_backoff(spark: SparkSession, sf: str) -> DataFrame:
@@ -240,7 +244,7 @@ QUERIES = {
     "log_positional_get": (positional_get, f"{_T} SELECT sequence, workspace, kind FROM timeline WHERE sequence BETWEEN 0 AND 399 AND sequence % 7 = 0"),
     "log_last_match": (last_match, f"{_T} SELECT kind, arg_max(workspace, sequence) AS workspace, max(sequence) AS sequence FROM timeline WHERE k % 2 = 0 GROUP BY 1"),
     "gc_byte_masks": (byte_masks, f"{_T} SELECT (CASE WHEN sequence % 211 = 0 OR age < 0 THEN 255 ELSE 71 + CASE WHEN age <= 2592000 THEN 32 ELSE 0 END + CASE WHEN age <= 259200 THEN 24 ELSE 0 END + CASE WHEN age <= 86400 THEN 128 ELSE 0 END END)::INT AS mask, count(*) AS n, min(sealed_at) AS oldest FROM (SELECT *, {NOW} - sealed_at AS age FROM timeline) GROUP BY 1"),
-    "budget_status": (budget_status, f"SELECT workspace, used, greatest(used - 1500000, 0) AS over, greatest(1500000 - used, 0) AS free, used > 1500000 AS exceeded, {_SHOWN.format(n='used')} AS shown FROM (SELECT o_custkey AS workspace, sum(floor(o_totalprice)::BIGINT)::BIGINT AS used FROM orders GROUP BY 1)"),
+    "budget_status": (budget_status, f"SELECT workspace, used, greatest(used - 1500000, 0) AS over, greatest(1500000 - used, 0) AS free, used > 1500000 AS exceeded, {_SHOWN.format(n='used')} AS shown, available, CASE WHEN available < 300000 THEN 300000 - available ELSE 0 END AS below_reserved, used <= 1500000 AND available >= 300000 AS satisfied FROM (SELECT *, greatest(3000000 - used - workspace % 7 * 250000, 0) AS available FROM (SELECT o_custkey AS workspace, sum(floor(o_totalprice)::BIGINT)::BIGINT AS used FROM orders GROUP BY 1))"),
     "budget_backoff": (budget_backoff, f"""WITH RECURSIVE {TIMELINE_SQL.strip()},
 r AS (SELECT workspace, sequence, k * 8 AS used, sealed_at AS t0, k % 5 = 0 AS satisfied, row_number() OVER (PARTITION BY workspace ORDER BY sequence) AS i FROM timeline),
 w AS (

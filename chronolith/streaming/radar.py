@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.retention import running_sum, with_previous
 from ..sources.files import read_ndjson, write_ndjson
 from ..sources.shared import shared_folder
 
@@ -51,32 +48,44 @@ def distinct_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(s.select("workspace", "kind", "k"), "append")
 
 
-def transitions(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A path's dirty forks across batches: opened at two of them, updated while they change, resolved below two."""
-    (k,) = key
-    dirty = set(state.get[0]) if state.exists else set()
-    rows = pd.concat(list(pdfs)).sort_values("sequence")
-    out = []
-    for sequence, fork, kind in zip(rows["sequence"], rows["workspace"], rows["kind"], strict=True):
-        before, had = len(dirty), fork in dirty
-        dirty = dirty - {fork} if kind == "purchase" else dirty | {fork}
-        if had == (fork in dirty):
-            continue
-        now = len(dirty)
-        if max(before, now) >= 2:
-            out.append((k, sequence, "opened" if before < 2 else "resolved" if now < 2 else "updated", now))
-    if dirty:
-        state.update((sorted(int(x) for x in dirty),))
-    elif state.exists:
-        state.remove()  # nobody changes the path any more
-    yield pd.DataFrame(out, columns=["k", "sequence", "state", "forks"]).astype({"k": "int32", "sequence": "int64", "state": "object", "forks": "int64"})
+def transitions(rows: DataFrame, dirty: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows(k, workspace, sequence, kind)`` of a batch and the forks that were dirty before it, ``dirty(k, workspace)``, to changes of paths and the forks that are dirty now.
+
+    A path is opened at two dirty forks, updated while they change, resolved below two: k, sequence, state, forks.
+    A purchase cleans its fork, anything else makes it dirty.  A path that most rows are of is summed in blocks, not in one task.
+    """
+    fork = ["k", "workspace"]
+    on = (F.col("kind") != "purchase").cast("int")
+    r = with_previous(rows.select(*fork, "sequence", on.alias("on")), fork, "sequence", {"before": "on"})
+    r = r.join(dirty.select(*fork, F.lit(1).alias("was")), fork, "left")
+    r = r.select(*fork, "sequence", (F.col("on") - F.coalesce("before", "was", F.lit(0))).cast("long").alias("step"))
+    r = running_sum(r, ["k"], "sequence", "step", "now").join(dirty.groupBy("k").agg(F.count("*").alias("held")), "k", "left")
+    now = F.col("now") + F.coalesce("held", F.lit(0))
+    was = now - F.col("step")
+    state = F.when(was < 2, "opened").when(now < 2, "resolved").otherwise("updated")
+    changed = r.where((F.col("step") != 0) & (F.greatest(now, was) >= 2)).select("k", "sequence", state.alias("state"), now.alias("forks"))
+    last = rows.groupBy(*fork).agg(F.max_by(on, "sequence").alias("on"))
+    left = last.where("on = 1").select(*fork).unionByName(dirty.join(last.select(*fork), fork, "left_anti").select(*fork))
+    return changed, left
 
 
 def conflict_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of a path in the order of their sequence, which files may interleave: so all files are one batch."""
+    """Changes of paths in the order of their sequence, which files may interleave: so all files are one batch.
+
+    A batch writes its changes and the state after it under its own number, from the state before: a repeated one writes the same again.
+    """
+    folder = shared_folder(spark, "conflicts")
+    spark.createDataFrame([], "k int, workspace long").write.parquet(f"{folder}/state/before=0")
+
+    def step(batch: DataFrame, i: int) -> None:
+        session = batch.sparkSession
+        changed, left = transitions(batch, session.read.parquet(f"{folder}/state/before={i}"))
+        changed.write.mode("overwrite").parquet(f"{folder}/out/batch={i}")
+        left.write.mode("overwrite").parquet(f"{folder}/state/before={i + 1}")
+
     s = event_stream(spark, sf_dir, files=None).select("k", "sequence", "workspace", "kind")
-    t = s.groupBy("k").applyInPandasWithState(transitions, "k int, sequence long, state string, forks long", "forks array<long>", "append", GroupStateTimeout.NoTimeout)
-    return drained(t, "append")
+    s.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(step).start().awaitTermination()
+    return spark.read.schema("k int, sequence long, state string, forks long").parquet(f"{folder}/out").select("k", "sequence", "state", "forks")
 
 
 def ndjson_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

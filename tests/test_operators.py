@@ -81,6 +81,32 @@ def test_ranges_are_islands(spark):
     assert pairs(T.ranges(df), "first", "last", "n") == [(1, 3, 3), (7, 7, 1), (9, 10, 2)]
 
 
+def test_blocks_of_a_log_change_nothing(spark, monkeypatch):
+    """Runs, predecessors, sums and bisection of one large key over many blocks, against plain loops."""
+    monkeypatch.setattr(T, "BLOCK_BITS", 2)
+    monkeypatch.setattr(G, "BLOCK_BITS", 2)
+    rng = random.Random(4)
+    logs = {1: sorted(rng.sample(range(-9, 90), 60)), 2: list(range(40)), 3: [5]}
+    rows = [(w, s, rng.randrange(3)) for w, ss in logs.items() for s in ss]
+    df = spark.createDataFrame(rows, "workspace int, sequence long, v long")
+    runs, before, sums = [], [], []
+    for w, ss in logs.items():
+        v = {s: x for ww, s, x in rows if ww == w}
+        for i, s in enumerate(ss):
+            if i and ss[i - 1] == s - 1:
+                runs[-1][2:] = [s, runs[-1][3] + 1]
+            else:
+                runs.append([w, s, s, 1])
+            before.append((w, s, v[ss[i - 1]] if i else -1))
+            sums.append((w, s, sum(v[x] for x in ss[: i + 1])))
+    assert pairs(T.ranges(df), "workspace", "first", "last", "n") == sorted(map(tuple, runs))
+    assert pairs(T.with_previous(df, ["workspace"], "sequence", {"b": "v"}).fillna(-1), "workspace", "sequence", "b") == sorted(before)
+    assert pairs(T.running_sum(df, ["workspace"], "sequence", "v", "s"), "workspace", "sequence", "s") == sorted(sums)
+    checks = [(1, s, s < 21 and s != 13) for s in range(40)] + [(2, s, True) for s in range(9)] + [(3, s, False) for s in range(6)]
+    b = G.bisect(spark.createDataFrame(checks, "workspace int, sequence long, good boolean")).fillna(-1)
+    assert pairs(b, "workspace", "last_good", "first_bad") == [(1, 12, 13), (2, 8, -1), (3, -1, 0)]
+
+
 def test_reach_and_marks(spark):
     edges = spark.createDataFrame([("s", "t", 1), ("t", "b", 1), ("b", "c", 128), ("t", "x", 1), ("o", "y", 1), ("c", "t", 1)], "src string, dst string, class_bit int")
     roots = spark.createDataFrame([("s", 1)], "node string, mask int")
@@ -186,3 +212,59 @@ def test_conflict_states_do_not_depend_on_the_number_of_files(spark, tmp_path):
     assert len(list((tmp_path / "many" / "events.parquet").glob("*.parquet"))) > 64
     states = [sorted(map(tuple, radar.conflict_states(spark, d).collect())) for d in (one, many)]
     assert states[0] == states[1] and states[0]
+
+
+def test_conflict_states_over_batches(spark):
+    """One batch of all rows, or two with the state between them, tell the same changes."""
+    from chronolith.streaming import radar
+
+    rng = random.Random(8)
+    rows = [(i % 3, rng.randrange(4), i, rng.choice(["purchase", "view", "click"])) for i in range(120)]
+    schema = "k int, workspace long, sequence long, kind string"
+    df, none = spark.createDataFrame(rows, schema), spark.createDataFrame([], "k int, workspace long")
+    changed, left = radar.transitions(df, none)
+    one, between = radar.transitions(df.where("sequence < 50"), none)
+    two, after = radar.transitions(df.where("sequence >= 50"), between)
+    columns = ("k", "sequence", "state", "forks")
+    assert pairs(changed, *columns) == pairs(one.unionByName(two), *columns) != []
+    assert pairs(left, "k", "workspace") == pairs(after, "k", "workspace")
+
+
+CLAIM = "id long, pattern string, owner string, workspace long, created_at long, expires_at long"
+
+
+def test_claims_meet_whom_they_overlap(spark):
+    """Verdicts on every pair of a pattern and a claim, against the rule spelled out."""
+    from chronolith.operators import claims
+
+    patterns = ["a/b", "a/b/c", "a/*", "a/b/*.py", "*/b", "**", "a", "b/c", "a/bc/*", "a/[bc]"]
+    lead = lambda p: p.split("/")[: next((i for i, c in enumerate(p.split("/")) if set(c) & set("*?[")), len(p.split("/")))]
+
+    def meet(p, q):
+        if not set(p + q) & set("*?["):
+            return p == q
+        n = min(len(lead(p)), len(lead(q)))
+        return lead(p)[:n] == lead(q)[:n]
+
+    held = [(i, p, f"o{i % 3}", i % 2, 100 - i, 1000) for i, p in enumerate(patterns)]
+    asks = [(p, f"o{o}", w, 60) for p in patterns for o in range(3) for w in range(2)]
+    got = {(r.pattern, r.owner, r.workspace): (r.verdict, r.claim_id) for r in claims.verdicts(spark.createDataFrame(asks, "pattern string, owner string, workspace long, ttl long"), spark.createDataFrame(held, CLAIM), 500).collect()}
+    for p, o, w, _ in asks:
+        own = [h for h in held if h[1:4] == (p, o, w)]
+        block = sorted((h[4], h[0]) for h in held if h[2:4] != (o, w) and meet(p, h[1]))
+        want = ("held", own[0][0]) if own else ("blocked", block[0][1]) if block else ("granted", None)
+        assert got[p, o, w] == want, (p, o, w)
+
+
+def test_claims_run_out_and_come_back(spark):
+    from chronolith.operators import claims
+
+    held = spark.createDataFrame([(1, "a/*", "me", 1, 0, 10), (2, "b", "me", 1, 0, 99), (3, "b", "you", 1, 0, 99)], CLAIM)
+    asks = spark.createDataFrame([("a/x", "you", 2, 60), ("b", "me", 1, 60), ("c", "me", 1, 0), ("/c", "me", 1, 9), (None, "me", 1, 9)], "pattern string, owner string, workspace long, ttl long")
+    assert pairs(claims.verdicts(asks, held, 10).fillna(-1).fillna("~"), "pattern", "verdict", "claim_id", "expires_at") == [("/c", "invalid", -1, -1), ("a/x", "granted", -1, 70), ("b", "held", 2, 99), ("c", "invalid", -1, -1), ("~", "invalid", -1, -1)]
+    gone = claims.released(held, spark.createDataFrame([("b", "me", 1), ("1", "you", 1), ("3", "you", 1)], "selector string, owner string, workspace long"))
+    assert pairs(gone, "id") == [(2,), (3,)]
+    assert pairs(claims.restored(held.where("id <> 2"), gone.withColumn("owner", F.lit("back"))), "id", "owner") == [(1, "me"), (2, "back"), (3, "back")]
+    ask = lambda i, at: ("k", 1, i, at, 10)
+    last = L.last_leases(spark.createDataFrame([ask(0, 0), ask(1, 9), ask(2, 10), ask(3, 15), ("j", 2, 4, 1, 1)], "key string, workspace long, sequence long, at long, ttl long"))
+    assert pairs(last, "key", "workspace", "expires_at", "begun") == [("j", 2, 2, 1), ("k", 1, 20, 2)]
