@@ -19,6 +19,18 @@ def usage(entries: DataFrame) -> DataFrame:
     )
 
 
+def estimate(entries: DataFrame, rules: DataFrame) -> DataFrame:
+    """One row: usage of the entries that ``rules(path)`` let a capture take, other kinds, the topmost subtrees that it leaves out, and the number of rules."""
+    rules = rules.select("path").distinct()
+    kept = without_subtrees(entries, rules)
+    other = kept.agg(F.count_if(~F.col("kind").isin("File", "Directory", "Symlink")).alias("special_entries"))
+    at_rules = entries.select("path").join(rules, "path", "left_semi").distinct()
+    below = with_ancestors(at_rules).join(rules.select(F.col("path").alias("above")), "above", "left_semi").select("path").distinct()
+    left_out = at_rules.join(below, "path", "left_anti").agg(F.count("*").alias("excluded_subtrees"))
+    # each side is one row
+    return usage(kept).crossJoin(other).crossJoin(left_out).crossJoin(rules.agg(F.count("*").alias("policy_rules")))
+
+
 def rollup(files: DataFrame) -> DataFrame:
     """Totals of every directory over all that it holds: path, entries, bytes."""
     return with_ancestors(files).groupBy(F.col("above").alias("path")).agg(F.count("*").alias("entries"), F.sum("size").alias("bytes"))
@@ -37,15 +49,21 @@ def shrink_candidates(files: DataFrame) -> DataFrame:
 def merkle(files: DataFrame) -> DataFrame:
     """Identity of every directory from its children's names, kinds and identities: path, tree_id, children.  The top is the empty path.
 
-    One aggregation a level from the deepest; the number of levels is read off the paths.
+    Two aggregations a level from the deepest: children are digested in pages, by the first three digits of their names'
+    digests, and pages in their order, so that no task holds the children of a large directory.  The number of levels is
+    read off the paths.
     """
     nodes = files.select("path", F.col("kind"), F.col("target").alias("id"), depth_of(F.col("path")).alias("depth"))
     levels = nodes.agg(F.max("depth")).first()[0] or 0
     found: list[DataFrame] = []
     at = nodes.where(F.col("depth") == levels)
     for d in range(levels, 0, -1):
-        line = F.concat_ws("\t", name_of(F.col("path")), F.col("kind"), F.col("id"))
-        g = at.groupBy(parent_of(F.col("path")).alias("path")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256).alias("id"), F.count("*").alias("children"))
+        name = name_of(F.col("path"))
+        line = F.concat_ws("\t", name, F.col("kind"), F.col("id"))
+        pages = at.groupBy(parent_of(F.col("path")).alias("path"), F.substring(F.sha2(name, 256), 1, 3).alias("page"))
+        pages = pages.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256).alias("digest"), F.count("*").alias("n"))
+        in_order = F.transform(F.sort_array(F.collect_list(F.struct("page", "digest"))), lambda p: p["digest"])  # at most 4,096
+        g = pages.groupBy("path").agg(F.sha2(F.array_join(in_order, ""), 256).alias("id"), F.sum("n").alias("children"))
         found.append(g)
         at = g.select("path", F.lit("Directory").alias("kind"), "id").unionByName(nodes.where(F.col("depth") == d - 1).select("path", "kind", "id"))
     return reduce(DataFrame.unionByName, found).select("path", F.col("id").alias("tree_id"), "children") if found else nodes.select("path", F.col("id").alias("tree_id"), F.lit(0).cast("long").alias("children")).limit(0)

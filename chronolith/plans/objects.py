@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import values as V
 from ..operators import chunks as C
 from ..operators import reach as G
+from ..operators.retention import running_sum
 from .model import CHUNKS_SQL, EDGES_SQL, chunks, edges, table
 
 NOW = 1_706_659_200
@@ -46,11 +47,9 @@ def sync_pull(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _packed(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
     o = table(spark, sf, "orders").select(F.col("o_custkey").alias("pack"), F.col("o_orderkey").alias("id"), F.floor(F.col("o_totalprice") / 100).cast("long").alias("len"))
-    before = F.sum(F.col("len") + 82).over(W.partitionBy("pack").orderBy("id").rowsBetween(W.unboundedPreceding, -1))
-    return o.withColumn("offset", F.coalesce(before, F.lit(0)))
+    size = F.col("len") + 82
+    return running_sum(o.withColumn("size", size), ["pack"], "id", "size", "end").select("pack", "id", "len", (F.col("end") - size).alias("offset"))
 
 
 def pack_stab(spark: SparkSession, sf: str) -> DataFrame:

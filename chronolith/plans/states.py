@@ -10,6 +10,7 @@ from ..functions import paths as P
 from ..operators import diff as D
 from ..operators import merge as M
 from ..operators import trees as T
+from ..operators.retention import with_previous
 from .model import PATHS_SQL, leaves, project_paths, table, tree, tree_sql
 
 RULES = ("1-URGENT/F", "2-HIGH/O/7", "5-LOW", "3-MEDIUM/P/1")
@@ -114,6 +115,12 @@ def tree_usage(spark: SparkSession, sf: str) -> DataFrame:
     return T.usage(tree(spark, sf, "theirs"))
 
 
+def tree_estimate(spark: SparkSession, sf: str) -> DataFrame:
+    """What a capture would take, under rules of which some lie below others and some name nothing."""
+    rules = spark.createDataFrame([(r,) for r in (*RULES, "1-URGENT/F/7", "5-LOW/O", "none/such")], "path string")
+    return T.estimate(tree(spark, sf, "theirs"), rules)
+
+
 def tree_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return T.rollup(leaves(spark, sf, "ours"))
 
@@ -142,8 +149,8 @@ def tree_same(spark: SparkSession, sf: str) -> DataFrame:
 def tree_sorted_unique(spark: SparkSession, sf: str) -> DataFrame:
     """Names of a directory in the order in which they were pushed: those that don't follow the one before are faults."""
     t = leaves(spark, sf, "base").select("k", P.parent_of(F.col("path")).alias("parent"), F.when(F.col("k") % 10 == 0, "same").otherwise(P.name_of(F.col("path"))).alias("name"))
-    before = F.lag("name").over(W.partitionBy("parent").orderBy("k"))
-    return t.withColumn("before", before).groupBy("parent").agg(F.count("*").alias("entries"), F.count_if(F.col("before") >= F.col("name")).alias("out_of_order"))
+    t = with_previous(t, ["parent"], "k", {"before": "name"})
+    return t.groupBy("parent").agg(F.count("*").alias("entries"), F.count_if(F.col("before") >= F.col("name")).alias("out_of_order"))
 
 
 def tree_cache_hits(spark: SparkSession, sf: str) -> DataFrame:
@@ -208,8 +215,10 @@ classed AS (
     WHEN {_any(P.BUILD_DIRS)} OR {_ends(P.BUILD_ENDS)} THEN 'build-output'
     WHEN {_any(P.SCRATCH_DIRS)} OR starts_with(name, '.#') OR {_ends(P.SCRATCH_ENDS)} THEN 'scratch' ELSE 'source' END AS class
   FROM (SELECT *, string_split(path, '/') AS comps, string_split(path, '/')[-1] AS name FROM paths))"""
-_MERKLE = "sha256(string_agg({name} || chr(9) || kind || chr(9) || id, chr(10) ORDER BY {name} || chr(9) || kind || chr(9) || id))"
-_lvl = lambda n, src: f"m{n} AS (SELECT regexp_replace(path, '/?[^/]*$', '') AS path, 'Directory' AS kind, {_MERKLE.format(name=chr(39).join(['regexp_extract(path, ', '[^/]*$', ')']))} AS id, count(*) AS children FROM {src} GROUP BY 1)"
+_NAME = "regexp_extract(path, '[^/]*$')"
+_LINE = f"{_NAME} || chr(9) || kind || chr(9) || id"
+_lvl = lambda n, src: f"""p{n} AS (SELECT regexp_replace(path, '/?[^/]*$', '') AS path, sha256({_NAME})[:3] AS page, sha256(string_agg({_LINE}, chr(10) ORDER BY {_LINE})) AS digest, count(*) AS n FROM {src} GROUP BY 1, 2),
+m{n} AS (SELECT path, 'Directory' AS kind, sha256(string_agg(digest, '' ORDER BY page)) AS id, sum(n)::BIGINT AS children FROM p{n} GROUP BY 1)"""
 
 QUERIES = {
     "path_ancestors": (path_ancestors, f"{_F} SELECT d AS dir, count(*) AS files, len(string_split(d, '/'))::INT AS depth, CASE WHEN contains(d, '/') THEN regexp_replace(d, '/[^/]*$', '') ELSE '' END AS parent FROM (SELECT unnest([p, p || '/' || st, p || '/' || st || '/' || c]) AS d FROM base_files) GROUP BY 1"),
@@ -229,6 +238,8 @@ QUERIES = {
     "merge_conflicts": (merge_conflicts, f"{_BOT}, {_MERGE_SQL} SELECT * FROM conflicts"),
     "merge_summary": (merge_summary, f"{_BOT}, {_MERGE_SQL} SELECT action AS what, count(*) AS n FROM changes GROUP BY 1 UNION ALL SELECT kind, count(*) FROM conflicts GROUP BY 1"),
     "tree_usage": (tree_usage, f"WITH {tree_sql('theirs')} SELECT count(*) FILTER (kind = 'File') AS files, count(*) FILTER (kind = 'Directory') + 1 AS directories, count(*) FILTER (kind = 'Symlink') AS symlinks, sum(size)::BIGINT AS logical_bytes, sum(ceil(size / 512.0) * 512)::BIGINT AS physical_bytes FROM theirs"),
+    "tree_estimate": (tree_estimate, f"""WITH {tree_sql('theirs')} SELECT count(*) FILTER (kind = 'File') AS files, count(*) FILTER (kind = 'Directory') + 1 AS directories, count(*) FILTER (kind = 'Symlink') AS symlinks, sum(size)::BIGINT AS logical_bytes, sum(ceil(size / 512.0) * 512)::BIGINT AS physical_bytes,
+0 AS special_entries, (SELECT count(*) FROM theirs WHERE path IN ({_qs(RULES)})) AS excluded_subtrees, {len(RULES) + 3} AS policy_rules FROM theirs WHERE NOT {_in_rules(RULES)}"""),
     "tree_rollup": (tree_rollup, f"WITH {tree_sql('ours', dirs=False)} SELECT d AS path, count(*) AS entries, sum(size)::BIGINT AS bytes FROM (SELECT unnest([p, p || '/' || st, p || '/' || st || '/' || c]) AS d, size FROM ours_files) GROUP BY 1"),
     "tree_merkle": (tree_merkle, f"{_F}, m4 AS (SELECT path, kind, target AS id FROM base_files), {_lvl(3, 'm4')}, {_lvl(2, 'm3')}, {_lvl(1, 'm2')}, {_lvl(0, 'm1')} SELECT path, id AS tree_id, children FROM m3 UNION ALL SELECT path, id, children FROM m2 UNION ALL SELECT path, id, children FROM m1 UNION ALL SELECT path, id, children FROM m0"),
     "tree_shrink": (tree_shrink, f"WITH {PATHS_SQL}, up AS (SELECT unnest([string_split(path, '/')[1], string_split(path, '/')[1] || '/' || string_split(path, '/')[2], string_split(path, '/')[1] || '/' || string_split(path, '/')[2] || '/' || string_split(path, '/')[3]]) AS path, size FROM paths), s AS (SELECT path, count(*) AS entries, sum(size)::BIGINT AS bytes, string_split(path, '/')[-1] AS name FROM up GROUP BY 1) SELECT path, CASE WHEN name = 'node_modules' THEN 'javascript_dependencies' WHEN name IN ('.next', '.nuxt', '.parcel-cache', '.turbo', '.vite') THEN 'frontend_cache' WHEN name IN ('.venv', 'venv', '__pycache__') THEN 'python_cache' ELSE 'rust_build_cache' END AS cache_class, entries, bytes FROM s WHERE name IN ('node_modules', '.next', '.nuxt', '.parcel-cache', '.turbo', '.vite', '.venv', 'venv', '__pycache__') OR name = 'target' AND regexp_replace(path, '/[^/]*$', '') || '/Cargo.toml' IN (SELECT path FROM paths)"),

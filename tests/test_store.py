@@ -120,3 +120,30 @@ def test_fork_descriptors_and_swaps(spark, tmp_path):
     assert spark.read.parquet(versions["y"]).count() == 4
     with pytest.raises(ValueError, match="missing"):
         T.export_bundle(spark.createDataFrame([("q",)], "node string"), spark.createDataFrame([("a", 1)], "id string, len long"), str(tmp_path / "bundle"))
+
+
+def test_estimates_count_what_is_left_out(spark):
+    from chronolith.operators import trees
+
+    rows = [("a", "Directory", 0), ("a/x", "Directory", 0), ("a/x/1", "File", 1), ("a/y", "File", 513), ("b", "Socket", 0), ("c", "Symlink", 0), ("ab", "File", 2)]
+    rules = spark.createDataFrame([("a/x",), ("a/x/1",), ("a/x",), ("c",), ("zz",)], "path string")
+    e = trees.estimate(spark.createDataFrame(rows, "path string, kind string, size long"), rules).first().asDict()
+    assert e == {"files": 2, "directories": 2, "symlinks": 0, "logical_bytes": 515, "physical_bytes": 1536, "special_entries": 1, "excluded_subtrees": 2, "policy_rules": 4}
+    nothing = trees.estimate(spark.createDataFrame([], "path string, kind string, size long"), rules).first()
+    assert (nothing.files, nothing.directories, nothing.excluded_subtrees) == (0, 1, 0)
+
+
+def test_a_directory_of_many_pages_has_one_identity(spark):
+    import hashlib
+
+    from chronolith.operators import trees
+
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    names = [f"n{i}" for i in range(300)]
+    pages = {}
+    for n in names:
+        pages.setdefault(sha(n)[:3], []).append(f"{n}\tFile\t{sha('t' + n)}")
+    d = sha("".join(sha("\n".join(sorted(pages[p]))) for p in sorted(pages)))
+    rows = [(f"d/{n}", "File", sha("t" + n)) for n in names]
+    got = {r.path: (r.tree_id, r.children) for r in trees.merkle(spark.createDataFrame(rows, "path string, kind string, target string").repartition(5)).collect()}
+    assert got == {"d": (d, 300), "": (sha(sha(f"d\tDirectory\t{d}")), 1)}
