@@ -110,11 +110,14 @@ def cursor_state(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fork_updates(spark: SparkSession, sf: str) -> DataFrame:
-    t = timeline(spark, sf).withColumn("snapshot_id", F.sha2(F.col("sequence").cast("string"), 256))
-    at = t.agg(F.min("sequence")).first()[0] or 0
+    """What a follower gets with the first row's id, with one that the log never had, and without any."""
     import hashlib
 
-    return logs.updates_after(t, hashlib.sha256(str(at).encode()).hexdigest(), 5).select("sequence", "kind", "cursor_found")
+    t = timeline(spark, sf).withColumn("snapshot_id", F.sha2(F.col("sequence").cast("string"), 256))
+    at = t.agg(F.min("sequence")).first()[0] or 0
+    cursors = {"first": hashlib.sha256(str(at).encode()).hexdigest(), "unknown": "no such id", "none": None}
+    parts = [logs.updates_after(t, c, 5).select(F.lit(asked).alias("asked"), "sequence", "kind", "cursor_found") for asked, c in cursors.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def positional_get(spark: SparkSession, sf: str) -> DataFrame:
@@ -240,7 +243,8 @@ QUERIES = {
     "log_event_page": (event_page, f"{_T} SELECT sequence, kind, 'family:' || sequence AS cursor FROM timeline WHERE sequence > 1000 ORDER BY sequence LIMIT 100"),
     "log_cursor_codec": (cursor_codec, f"{_T} SELECT sequence, CASE WHEN sequence % 3 <> 0 AND sequence % 5 <> 0 THEN sequence END AS parsed FROM timeline"),
     "log_cursor_state": (cursor_state, f"{_T}, b AS (SELECT greatest(min(sequence), max(sequence) - {KEPT_EVENTS} + 1) AS lo, max(sequence) AS hi FROM timeline) SELECT c::BIGINT AS cursor, CASE WHEN c < lo - 1 THEN 'expired' WHEN c > hi THEN 'unknown' ELSE 'found' END AS state FROM b, unnest([0, 400, 500, 501, 900, 1000000000]) AS t(c)"),
-    "log_fork_updates": (fork_updates, f"{_T} SELECT sequence, kind, true AS cursor_found FROM timeline WHERE sequence > (SELECT min(sequence) FROM timeline) ORDER BY sequence LIMIT 5"),
+    "log_fork_updates": (fork_updates, f"""{_T}, r AS (SELECT *, row_number() OVER (ORDER BY sequence) AS up, row_number() OVER (ORDER BY sequence DESC) AS down FROM timeline)
+SELECT 'first' AS asked, sequence, kind, true AS cursor_found FROM r WHERE up BETWEEN 2 AND 6 UNION ALL SELECT 'unknown', sequence, kind, false FROM r WHERE down <= 5 UNION ALL SELECT 'none', sequence, kind, true FROM r WHERE down = 1"""),
     "log_positional_get": (positional_get, f"{_T} SELECT sequence, workspace, kind FROM timeline WHERE sequence BETWEEN 0 AND 399 AND sequence % 7 = 0"),
     "log_last_match": (last_match, f"{_T} SELECT kind, arg_max(workspace, sequence) AS workspace, max(sequence) AS sequence FROM timeline WHERE k % 2 = 0 GROUP BY 1"),
     "gc_byte_masks": (byte_masks, f"{_T} SELECT (CASE WHEN sequence % 211 = 0 OR age < 0 THEN 255 ELSE 71 + CASE WHEN age <= 2592000 THEN 32 ELSE 0 END + CASE WHEN age <= 259200 THEN 24 ELSE 0 END + CASE WHEN age <= 86400 THEN 128 ELSE 0 END END)::INT AS mask, count(*) AS n, min(sealed_at) AS oldest FROM (SELECT *, {NOW} - sealed_at AS age FROM timeline) GROUP BY 1"),

@@ -2,32 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from .radar import _E, drained, event_stream, seals
+from ..operators.retention import with_previous
+from .radar import _E, drained, event_stream, seals, stepped
 
 QUEUE = 3  # changes of a burst that are listed; more than these call for a scan of everything
 
 
-def moved(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Rows of a workspace whose content differs from the head before, across batches."""
-    rows = pd.concat(list(pdfs)).sort_values("sequence")
-    before = rows["content"].shift(1)
-    before.iloc[0] = state.get[0] if state.exists else None
-    state.update((rows["content"].iloc[-1],))
-    out = rows[before.isna() | (rows["content"] != before)]
-    yield pd.DataFrame({"workspace": key[0], "sequence": out["sequence"]}).astype("int64")
+def moved(rows: DataFrame, heads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows(workspace, sequence, content)`` whose content differs from the head before, across batches; and the heads after them, ``heads(workspace, head)``."""
+    r = with_previous(rows, ["workspace"], "sequence", {"before": "content"}).join(heads, "workspace", "left")
+    told = r.where(~F.col("content").eqNullSafe(F.coalesce("before", "head"))).select("workspace", "sequence")
+    last = rows.groupBy("workspace").agg(F.max_by("content", "sequence").alias("head"))
+    return told, last.unionByName(heads.join(last.select("workspace"), "workspace", "left_anti"))
 
 
 def head_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the content of a workspace's head changed: a follower is told of these and of no others.  All files are one batch, as they may interleave."""
     s = event_stream(spark, sf_dir, files=None).select("workspace", "sequence", F.concat_ws(":", "kind", F.col("k").cast("string")).alias("content"))
-    return drained(s.groupBy("workspace").applyInPandasWithState(moved, "workspace long, sequence long", "content string", "append", GroupStateTimeout.NoTimeout), "append")
+    return stepped(s, moved, "workspace long, head string", "workspace long, sequence long")
 
 
 def fork_watch(spark: SparkSession, sf_dir: str) -> DataFrame:

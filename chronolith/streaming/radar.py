@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ def event_stream(spark: SparkSession, sf_dir: str, files: int | None = 64) -> Da
     return e.select(F.col("event_id").alias("sequence"), F.col("ts").cast("timestamp").alias("at"), F.col("user_id").alias("workspace"), F.col("event_type").alias("kind"), k.alias("k"))
 
 
-def drained(stream: DataFrame, mode: str, schema_of: DataFrame | None = None) -> DataFrame:
+def drained(stream: DataFrame, mode: str) -> DataFrame:
     """Runs a query over all that its sources hold now, and returns its result; complete results replace each other."""
     spark = stream.sparkSession
     folder = shared_folder(spark, "stream")
@@ -69,23 +71,30 @@ def transitions(rows: DataFrame, dirty: DataFrame) -> tuple[DataFrame, DataFrame
     return changed, left
 
 
-def conflict_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Changes of paths in the order of their sequence, which files may interleave: so all files are one batch.
+def stepped(stream: DataFrame, step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], state: str, out: str) -> DataFrame:
+    """Runs ``step(batch, state)``, which gives a batch's rows and the state after it, over all that the source holds now; ``state`` and ``out`` are schemas.
 
-    A batch writes its changes and the state after it under its own number, from the state before: a repeated one writes the same again.
+    A batch writes both under its own number, from the state before: a repeated one writes the same again.
     """
-    folder = shared_folder(spark, "conflicts")
-    spark.createDataFrame([], "k int, workspace long").write.parquet(f"{folder}/state/before=0")
+    spark = stream.sparkSession
+    folder = shared_folder(spark, "stepped")
+    spark.createDataFrame([], state).write.parquet(f"{folder}/state/before=0")
+    spark.createDataFrame([], out).write.parquet(f"{folder}/out/batch=-1")  # of a source that holds nothing
 
-    def step(batch: DataFrame, i: int) -> None:
-        session = batch.sparkSession
-        changed, left = transitions(batch, session.read.parquet(f"{folder}/state/before={i}"))
-        changed.write.mode("overwrite").parquet(f"{folder}/out/batch={i}")
-        left.write.mode("overwrite").parquet(f"{folder}/state/before={i + 1}")
+    def take(batch: DataFrame, i: int) -> None:
+        rows, after = step(batch, batch.sparkSession.read.schema(state).parquet(f"{folder}/state/before={i}"))
+        rows.write.mode("overwrite").parquet(f"{folder}/out/batch={i}")
+        after.write.mode("overwrite").parquet(f"{folder}/state/before={i + 1}")
 
+    stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(take).start().awaitTermination()
+    found = spark.read.schema(out).parquet(f"{folder}/out")
+    return found.drop("batch")
+
+
+def conflict_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of paths in the order of their sequence, which files may interleave: so all files are one batch."""
     s = event_stream(spark, sf_dir, files=None).select("k", "sequence", "workspace", "kind")
-    s.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(step).start().awaitTermination()
-    return spark.read.schema("k int, sequence long, state string, forks long").parquet(f"{folder}/out").select("k", "sequence", "state", "forks")
+    return stepped(s, transitions, "k int, workspace long", "k int, sequence long, state string, forks long")
 
 
 def ndjson_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

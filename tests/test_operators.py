@@ -268,3 +268,21 @@ def test_claims_run_out_and_come_back(spark):
     ask = lambda i, at: ("k", 1, i, at, 10)
     last = L.last_leases(spark.createDataFrame([ask(0, 0), ask(1, 9), ask(2, 10), ask(3, 15), ("j", 2, 4, 1, 1)], "key string, workspace long, sequence long, at long, ttl long"))
     assert pairs(last, "key", "workspace", "expires_at", "begun") == [("j", 2, 2, 1), ("k", 1, 20, 2)]
+
+
+def test_heads_move_over_batches(spark):
+    from chronolith.streaming import follow
+
+    rng = random.Random(5)
+    df = spark.createDataFrame([(i % 2, i, rng.choice("ab")) for i in range(60)] + [(7, 99, "z")], "workspace long, sequence long, content string")
+    none = spark.createDataFrame([], "workspace long, head string")
+    told, heads = follow.moved(df, none)
+    one, between = follow.moved(df.where("sequence < 31"), none)
+    two, after = follow.moved(df.where("sequence >= 31"), between)
+    rows, last, want = sorted(tuple(r) for r in df.collect()), {}, []
+    for w, s, c in rows:
+        if last.get(w) != c:
+            want.append((w, s))
+        last[w] = c
+    assert pairs(told, "workspace", "sequence") == pairs(one.unionByName(two), "workspace", "sequence") == sorted(want)
+    assert pairs(heads, "workspace", "head") == pairs(after, "workspace", "head") == sorted(last.items())
