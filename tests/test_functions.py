@@ -35,9 +35,22 @@ def test_classes(spark):
 )
 def test_globs(spark, pattern, path, hit):
     assert results(spark, [path], lambda c: c.rlike(P.glob_to_regex(pattern))) == [hit]
-    if "[" not in pattern:
-        df = spark.createDataFrame([(pattern, path)], "g string, p string").withColumn("re", P.glob_column(F.col("g")))
-        assert df.select(F.expr("p RLIKE re")).first()[0] is hit
+    df = spark.createDataFrame([(pattern, path)], "g string, p string").withColumn("re", P.glob_column(F.col("g")))
+    assert df.select(F.expr("p RLIKE re")).first()[0] is hit
+
+
+def test_globs_of_a_column_match_what_single_patterns_match(spark):
+    rng = random.Random(9)
+    text = lambda letters, n: "".join(rng.choice(letters) for _ in range(rng.randint(0, n)))
+    fixed = ["[!]", "[]", "[", "[^^]", "[!]a]", "[b-a]", "[!b-a]", "[a-]", "[-a]", "[a-c-e]", "[é-ü😀]", "[[]", "[\\]", "a\nb", "{}()|+$^\\E", ""]
+    patterns = fixed + [text("ab[]!^-*?/é.", 8) for _ in range(300)]
+    cases = [(i, p, text("abc[]!^-/é.\n", 4) if i % 3 else p) for i, p in enumerate(patterns * 3)]
+    df = spark.createDataFrame(cases, "i int, g string, p string").withColumn("re", P.glob_column(F.col("g")))
+    single = spark.createDataFrame([(i, P.glob_to_regex(p)) for i, p, _ in cases], "i int, single string")
+    hits = df.join(single, "i").select("g", "p", F.expr("p RLIKE re").alias("a"), F.expr("p RLIKE single").alias("b")).collect()
+    assert len(hits) == len(cases) and sum(r.b for r in hits) > 100
+    assert [(r.g, r.p) for r in hits if r.a != r.b] == []
+    assert spark.createDataFrame([(None,)], "g string").select(P.glob_column(F.col("g"))).first()[0] is None
 
 
 def test_overlaps(spark):
