@@ -18,8 +18,13 @@ def entry(side: str, fields: tuple[str, ...], ignore_directory_target: bool) ->
     return F.when(F.col(f"{side}.kind").isNotNull(), F.struct(*at))
 
 
-def paired(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Full outer join of two states by path: path, l, r."""
+def paired(left: DataFrame, right: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+    """Full outer join of two states by path: path, l, r; of ``paths(path)`` alone if they are given.
+
+    Each state is cut down to the paths before the join, so that few paths are sent to the states and no state is shuffled.
+    """
+    if paths is not None:
+        left, right = left.join(paths, "path", "left_semi"), right.join(paths, "path", "left_semi")
     l = left.select("path", F.struct(*[c for c in left.columns if c != "path"]).alias("l"))  # noqa: E741
     r = right.select("path", F.struct(*[c for c in right.columns if c != "path"]).alias("r"))
     return l.join(r, "path", "full_outer")
@@ -53,7 +58,8 @@ def rewind_plan(current: DataFrame, target: DataFrame) -> DataFrame:
 
 def verify(plan: DataFrame, actual: DataFrame, expected: DataFrame) -> DataFrame:
     """Paths of a plan whose actual entry is not the expected one."""
-    p = plan.select("path").join(paired(expected, actual), "path", "left")
+    paths = plan.select("path")
+    p = paths.join(paired(expected, actual, paths), "path", "left")
     return p.where(~entry("l", STRICT, False).eqNullSafe(entry("r", STRICT, False))).select("path")
 
 

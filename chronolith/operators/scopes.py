@@ -46,7 +46,7 @@ def recompute(base: DataFrame, head: DataFrame, paths: DataFrame) -> DataFrame:
     directory is told by its relevant leaves, or by itself without any; other entries by add, modify, delete.
     Classes that are made again, and control paths, make no scope.
     """
-    p = shared_table(paths.select("path").distinct().where(~radar_ignored(F.col("path"))).join(paired(base, head), "path"), "changed")
+    p = shared_table(paired(base, head, paths.select("path").where(~radar_ignored(F.col("path")))), "changed")
     left, right = F.col("l.kind").isNotNull(), F.col("r.kind").isNotNull()
     relevant = lambda side: F.coalesce(F.col(f"{side}.class").isin(*RELEVANT), F.lit(False))
     flip = left & right & (_is_dir("l") != _is_dir("r"))
@@ -80,7 +80,7 @@ def observe(base: DataFrame, head: DataFrame, previous: DataFrame | None = None,
     new = shared_table(recompute(base, head, paths), "scopes")
     if previous is None or stored is None:
         return new
-    at = paths.join(paired(base, head), "path", "left").select("path", (_is_dir("l") != _is_dir("r")).alias("structural"))
+    at = paths.join(paired(base, head, paths), "path", "left").select("path", (_is_dir("l") != _is_dir("r")).alias("structural"))
     kept = stored.join(at, "path", "left_anti")
     whole = at.where("structural").select(F.col("path").alias("above"))
     below = with_ancestors(kept.select("path")).join(whole, "above", "left_semi").select("path").distinct()
