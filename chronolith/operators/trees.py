@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import cache_class, depth_of, name_of, parent_of, with_ancestors
+from ..sources.shared import shared_table
 
 
 def usage(entries: DataFrame) -> DataFrame:
@@ -51,9 +52,11 @@ def merkle(files: DataFrame) -> DataFrame:
 
     Two aggregations a level from the deepest: children are digested in pages, by the first three digits of their names'
     digests, and pages in their order, so that no task holds the children of a large directory.  The number of levels is
-    read off the paths.
+    read off the paths.  Files are written once in the order of their depth, so a level reads its own pages of them, and
+    each level is written, so that the plan of a level does not hold those below it.
     """
     nodes = files.select("path", F.col("kind"), F.col("target").alias("id"), depth_of(F.col("path")).alias("depth"))
+    nodes = shared_table(nodes.sortWithinPartitions("depth"), "nodes")
     levels = nodes.agg(F.max("depth")).first()[0] or 0
     found: list[DataFrame] = []
     at = nodes.where(F.col("depth") == levels)
@@ -63,7 +66,7 @@ def merkle(files: DataFrame) -> DataFrame:
         pages = at.groupBy(parent_of(F.col("path")).alias("path"), F.substring(F.sha2(name, 256), 1, 3).alias("page"))
         pages = pages.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256).alias("digest"), F.count("*").alias("n"))
         in_order = F.transform(F.sort_array(F.collect_list(F.struct("page", "digest"))), lambda p: p["digest"])  # at most 4,096
-        g = pages.groupBy("path").agg(F.sha2(F.array_join(in_order, ""), 256).alias("id"), F.sum("n").alias("children"))
+        g = shared_table(pages.groupBy("path").agg(F.sha2(F.array_join(in_order, ""), 256).alias("id"), F.sum("n").alias("children")), "level")
         found.append(g)
         at = g.select("path", F.lit("Directory").alias("kind"), "id").unionByName(nodes.where(F.col("depth") == d - 1).select("path", "kind", "id"))
     return reduce(DataFrame.unionByName, found).select("path", F.col("id").alias("tree_id"), "children") if found else nodes.select("path", F.col("id").alias("tree_id"), F.lit(0).cast("long").alias("children")).limit(0)
