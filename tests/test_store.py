@@ -14,6 +14,7 @@ from chronolith.operators import radar as R
 from chronolith.operators import reach as G
 from chronolith.operators import scopes as S
 from chronolith.operators import store as T
+from chronolith.operators.diff import paired
 
 
 def state(spark, *rows):
@@ -147,3 +148,13 @@ def test_a_directory_of_many_pages_has_one_identity(spark):
     rows = [(f"d/{n}", "File", sha("t" + n)) for n in names]
     got = {r.path: (r.tree_id, r.children) for r in trees.merkle(spark.createDataFrame(rows, "path string, kind string, target string").repartition(5)).collect()}
     assert got == {"d": (d, 300), "": (sha(sha(f"d\tDirectory\t{d}")), 1)}
+
+
+def test_pairs_of_given_paths(spark):
+    schema = "path string, kind string"
+    left = spark.createDataFrame([("a", "File"), ("b", "File"), ("d", "Directory")], schema)
+    right = spark.createDataFrame([("a", "Symlink"), ("c", "File"), ("d", "Directory")], schema)
+    asked = spark.createDataFrame([("a",), ("a",), ("b",), ("c",), ("x",)], "path string")
+    got = paired(left, right, asked).select("path", "l.kind", "r.kind").orderBy("path").collect()
+    assert [tuple(r) for r in got] == [("a", "File", "Symlink"), ("b", "File", None), ("c", None, "File")]
+    assert paired(left, right, asked.limit(0)).isEmpty()
