@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import glob_column, literal_prefix, self_and_ancestors, with_ancestors
@@ -10,22 +10,82 @@ from ..functions.values import digest_id
 from ..sources.shared import shared_table
 
 
+#: Forks of a label in one block: two blocks meet in one task, and a block of them stays in the join's memory (4,096 rows).
+BLOCK = 3500
+#: Pairs that a task makes, about, where there are more than tasks; and where there are few.
+MOST_PAIRS, FEW_PAIRS = 32_000_000, 1_000_000
+#: What a fork has for a label: an exact scope of that path, a subtree there, an exact scope there or below, a subtree below or above.
+AT, TREE, LEAF, OTHER = 1, 2, 4, 8
+
+
+def _has(flags: str, bit: int) -> Column:
+    return F.col(flags).bitwiseAND(bit) != 0
+
+
+def _extents(s: DataFrame) -> DataFrame:
+    """A row for each path of scopes, with what decides who can meet whom there, over forks and never over pairs.
+
+    first, final: least and greatest fork with an exact scope; low, high: with a subtree; exact, trees: their numbers;
+    of subtrees also leaf: the least fork with an exact scope at or below; last: the greatest fork with any scope at, below, or with a
+    subtree above; every: the number of scopes at or below. Ancestors are of paths, not of scopes.
+    """
+    exact, tree = F.when(F.col("scope") == 0, F.col("fork")), F.when(F.col("scope") == 1, F.col("fork"))
+    at = s.groupBy("path").agg(
+        F.min(exact).alias("first"), F.max(exact).alias("final"), F.min(tree).alias("low"), F.max(tree).alias("high"), F.max("fork").alias("top"),
+        F.count(exact).alias("exact"), F.count(tree).alias("trees"), F.count("fork").alias("n"),
+    )
+    at = shared_table(at, "paths")
+    trees = at.where("low IS NOT NULL")
+    below = with_ancestors(at, inclusive=True).groupBy("above").agg(F.min("first").alias("leaf"), F.max("top").alias("last"), F.sum("n").alias("every"))
+    below = below.join(trees.select(F.col("path").alias("above")), "above", "left_semi").withColumnRenamed("above", "path")
+    over = with_ancestors(trees.select("path")).join(trees.select(F.col("path").alias("above"), F.col("high").alias("over"), F.col("trees").alias("more")), "above")
+    over = over.groupBy("path").agg(F.max("over").alias("over"), F.sum("more").alias("more"))
+    e = at.join(below, "path", "left").join(over, "path", "left").withColumn("last", F.greatest("last", "over")).withColumn("every", F.col("every") + F.coalesce("more", F.lit(0)))
+    return shared_table(e.drop("top", "n", "over", "more"), "extents")
+
+
+def _met(s: DataFrame, extents: DataFrame, labels: DataFrame) -> DataFrame:
+    """What forks have for each of the labels, which are rows of ``extents``: path (the label), fork, flags, and the label's other columns.
+
+    A path is led to its labels once, and its scopes follow by equality of paths.
+    """
+    label = labels.select(F.col("path").alias("label"), *(c for c in labels.columns if c != "path"))
+    down = with_ancestors(extents.select("path"), alias="label", inclusive=True).join(label, "label").withColumn("place", F.when(F.col("path") == F.col("label"), 0).otherwise(1))
+    down = down.where("place = 0 OR low IS NOT NULL")
+    up = with_ancestors(label.where("low IS NOT NULL").withColumn("at", F.col("label")), "at", "path").drop("at")
+    up = up.join(extents.where("low IS NOT NULL").select("path"), "path", "left_semi").withColumn("place", F.lit(2))
+    met = s.join(down.unionByName(up), "path").where("place < 2 OR scope = 1")
+    flags = F.when(F.col("scope") == 1, F.when(F.col("place") == 0, TREE | OTHER).otherwise(OTHER)).otherwise(F.when(F.col("place") == 0, AT | LEAF).otherwise(LEAF))
+    return met.withColumn("flags", flags).drop("path", "scope", "place").withColumnRenamed("label", "path")
+
+
 def pairs(scopes: DataFrame) -> DataFrame:
     """``scopes(fork, path, scope)`` to labelled pairs of forks: path, left_id < right_id.
 
     Two exact scopes meet on equal paths, a subtree meets what is at or below it;
     the label is the subtree's path, of two subtrees that of the smaller fork.
-    Prefix conditions are equi-joins on exploded ancestors.
+    Each fork comes to a label once, with all it has there, so each pair is made once and no pair is shuffled:
+    exact scopes meet one another, and subtrees meet all, in blocks of forks of a label.
     """
-    s = scopes.select("fork", "path", "scope").distinct()
-    exact, sub = s.where("scope = 0"), s.where("scope = 1")
-    low, high = F.least("a", "b"), F.greatest("a", "b")
-    ee = exact.select(F.col("fork").alias("a"), "path").join(exact.select(F.col("fork").alias("b"), "path"), "path").where("a < b").select("path", low.alias("left_id"), high.alias("right_id"))
-    above = with_ancestors(s, inclusive=True).select(F.col("fork").alias("b"), F.col("path").alias("below"), "scope", "above")
-    met = sub.select(F.col("fork").alias("a"), F.col("path").alias("above")).join(above, "above").where("a <> b")
-    label = F.when((F.col("scope") == 1) & (F.col("b") < F.col("a")), F.col("below")).otherwise(F.col("above"))
-    sx = met.select(label.alias("path"), low.alias("left_id"), high.alias("right_id"))
-    return ee.unionByName(sx).distinct()
+    s = shared_table(scopes.where("fork IS NOT NULL").select("fork", "path", "scope"), "scopes")
+    e = _extents(s)
+    labels = e.where("exact > 1 OR trees > 0")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    labels = labels.select("path", "low", F.greatest(blocks("exact"), F.lit(1)).alias("exact"), F.when(F.col("trees") > 0, blocks("every")).alias("every"))
+    made = e.agg(F.coalesce(F.sum(F.col("exact").cast("double") * F.col("exact") / 2 + F.coalesce(F.col("trees").cast("double") * F.col("every"), F.lit(0.0))), F.lit(0.0)).alias("n")).first().n
+    tasks = max(min(int(s.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(made / FEW_PAIRS) + 1), int(made / MOST_PAIRS) + 1)
+    key = ["path", "wide", "block"]
+    own = F.when(_has("flags", AT | TREE), F.struct(F.lit(False).alias("wide"), F.col("exact").alias("blocks")))
+    wide = F.when(F.col("every").isNotNull(), F.struct(F.lit(True).alias("wide"), F.col("every").alias("blocks")))
+    m = _met(s, e, labels).select("path", "fork", "flags", F.inline(F.array_compact(F.array(own, wide))))
+    m = m.withColumn("block", F.pmod(F.xxhash64("fork"), F.col("blocks")).cast("int")).repartition(tasks, *key)
+    m = m.groupBy(*key, "blocks", "fork").agg(F.bit_or("flags").alias("flags")).where("wide OR (flags & 3) = 1")
+    left = m.where("NOT wide OR (flags & 2) <> 0").withColumnRenamed("block", "from")
+    left = left.withColumn("block", F.explode(F.sequence(F.when(F.col("wide"), 0).otherwise(F.col("from")), F.col("blocks") - 1)))
+    left = left.select(*key, "from", F.col("fork").alias("a")).repartition(tasks, *key)
+    right = m.select(*key, F.col("fork").alias("b"), (_has("flags", LEAF) & ~_has("flags", TREE)).alias("leaf"))
+    j = left.join(right.hint("merge"), key).where("a < b OR (a > b AND CASE WHEN wide THEN leaf ELSE `from` < block END)")
+    return j.select("path", F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id"))
 
 
 def members(scopes: DataFrame) -> DataFrame:

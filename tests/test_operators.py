@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from chronolith.operators import chunks as C
@@ -168,6 +169,48 @@ def test_radar_members_agree_with_pairs(spark):
     assert set(pairs(R.members(s), "path", "fork")) == {(p, f) for p, a, b in plain if p in top for f in (a, b)}
 
 
+def _most(spark, act):
+    """The most rows that a step of any plan made, and the records shuffled, while ``act`` ran."""
+    plans, store = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: (lambda s: [s.apply(i) for i in range(s.size())])(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList()))
+    runs = lambda: (lambda s: {s.apply(i).executionId() for i in range(s.size())})(plans.executionsList())
+    known, before = runs(), {s.stageId() for s in stages()}
+    act()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    most = 0
+    for run in runs() - known:
+        values, nodes = plans.executionMetrics(run), plans.planGraph(run).allNodes()
+        for metrics in (nodes.apply(i).metrics() for i in range(nodes.size())):
+            for m in (metrics.apply(i) for i in range(metrics.size())):
+                value = values.get(m.accumulatorId())
+                if m.name() == "number of output rows" and value.isDefined():
+                    most = max(most, int(value.get().replace(",", "")))
+    return most, sum(s.shuffleWriteRecords() for s in stages() if s.stageId() not in before)
+
+
+def _crowd(spark, forks):
+    """Every fork changes one path, has a path of its own in a directory, and a third of them all of the directory."""
+    rows = [(f, 1, p, s) for f in range(forks) for p, s in [("one/path", 0), (f"d/{f}", 0), *([("d", 1)] if f % 3 == 0 else [])]]
+    return spark.createDataFrame(rows, "fork long, head long, path string, scope int")
+
+
+def test_radar_pairs_are_not_shuffled(spark):
+    s, got = _crowd(spark, 300), []
+    _, shuffled = _most(spark, lambda: got.extend(map(tuple, R.pairs(s).collect())))
+    n = range(300)
+    want = {("one/path", a, b) for a in n for b in n if a < b} | {("d", min(a, b), max(a, b)) for a in n if a % 3 == 0 for b in n if a != b}
+    assert len(got) == len(want) == len(set(got)) and set(got) == want
+    assert shuffled < 20_000 < len(want)
+
+
+@pytest.mark.parametrize("block", [1, 3, 50])
+def test_radar_pairs_in_blocks(spark, monkeypatch, block):
+    s = _crowd(spark, 20).unionByName(spark.createDataFrame([(f, 1, p, c) for f in (1, 5, 30) for p, c in (("d/5", 1), ("d/5/x", 1), ("d", 0))], "fork long, head long, path string, scope int"))
+    want = sorted(map(tuple, R.pairs(s).collect()))
+    monkeypatch.setattr(R, "BLOCK", block)
+    assert sorted(map(tuple, R.pairs(s).collect())) == want
+
+
 def test_updates_after_cursors(spark):
     log = spark.createDataFrame([(i, f"s{i}") for i in range(1, 9)], "sequence long, snapshot_id string")
     assert pairs(L.updates_after(log, "s3", 2), "sequence", "cursor_found") == [(4, True), (5, True)]
