@@ -91,22 +91,25 @@ def pairs(scopes: DataFrame) -> DataFrame:
 def members(scopes: DataFrame) -> DataFrame:
     """Topmost conflict paths and the forks of their pairs: path, fork.
 
-    Forks of exact scopes are the members of their path wherever there are two
-    of them, so these need no pairs, and a path that all forks change stays linear.
+    Whether a fork has a pair at a path is told by the least and greatest forks there, so pairs are not made:
+    a path or a subtree that all forks change stays linear.
     """
-    s = shared_table(scopes.select("fork", "path", "scope").distinct(), "scopes")
-    exact = s.where("scope = 0").select("path", "fork")
-    crowded = exact.groupBy("path").agg(F.countDistinct("fork").alias("n")).where("n > 1").select("path")
-    same = exact.join(crowded, "path", "left_semi")
-    sub = s.where("scope = 1")
-    above = with_ancestors(s, inclusive=True).select(F.col("fork").alias("b"), F.col("path").alias("below"), "scope", "above")
-    met = sub.select(F.col("fork").alias("a"), F.col("path").alias("above")).join(above, "above").where("a <> b")
-    label = F.when((F.col("scope") == 1) & (F.col("b") < F.col("a")), F.col("below")).otherwise(F.col("above"))
-    wide = met.select(label.alias("path"), F.explode(F.array("a", "b")).alias("fork"))
-    every = shared_table(same.unionByName(wide).distinct(), "met")
-    paths = every.select("path").distinct()
-    nested = with_ancestors(paths).join(paths.select(F.col("path").alias("above")), "above", "left_semi").select("path").distinct()
-    return shared_table(every.join(nested, "path", "left_anti"), "members")
+    return _members(shared_table(scopes.select("fork", "path", "scope"), "scopes"))
+
+
+def _members(s: DataFrame) -> DataFrame:
+    """``members`` of scopes that are written."""
+    e = _extents(s)
+    hit = e.where("first < final OR low < last OR leaf < high")
+    nested = with_ancestors(hit.select("path")).join(hit.select(F.col("path").alias("above")), "above", "left_semi").select("path").distinct()
+    top = shared_table(hit.join(nested, "path", "left_anti"), "topmost")
+    m = _met(s.select("fork", "path", "scope"), e, top)
+    fork = F.col("fork")
+    same = _has("flags", AT) & (F.col("first") < F.col("final"))
+    tree = _has("flags", TREE) & (F.coalesce(fork < F.col("last"), F.lit(False)) | F.coalesce(F.col("leaf") < fork, F.lit(False)))
+    met = (F.col("low") < fork) | (_has("flags", LEAF) & (fork < F.col("high")))
+    paired = F.coalesce(same, F.lit(False)) | tree | F.coalesce(met, F.lit(False))
+    return shared_table(m.where(paired).select("path", "fork").distinct(), "members")
 
 
 def claim_states(paths: DataFrame, claims: DataFrame) -> DataFrame:

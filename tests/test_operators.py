@@ -211,6 +211,13 @@ def test_radar_pairs_in_blocks(spark, monkeypatch, block):
     assert sorted(map(tuple, R.pairs(s).collect())) == want
 
 
+def test_radar_members_make_no_pairs(spark):
+    s, got = _crowd(spark, 600), []
+    most, _ = _most(spark, lambda: got.extend(map(tuple, R.members(s).collect())))
+    assert sorted(got) == sorted([("one/path", f) for f in range(600)] + [("d", f) for f in range(600)])
+    assert most < 10_000  # a third of the forks and all of them are 120,000 pairs
+
+
 def test_updates_after_cursors(spark):
     log = spark.createDataFrame([(i, f"s{i}") for i in range(1, 9)], "sequence long, snapshot_id string")
     assert pairs(L.updates_after(log, "s3", 2), "sequence", "cursor_found") == [(4, True), (5, True)]
