@@ -131,7 +131,8 @@ def claim_states(paths: DataFrame, claims: DataFrame) -> DataFrame:
 
 def conflicts(scopes: DataFrame, claims: DataFrame) -> DataFrame:
     """Active conflicts: path, signature over members and their heads, claim_state, forks."""
-    m = members(scopes).join(scopes.select("fork", "head").distinct(), "fork")
+    s = shared_table(scopes.select("fork", "head", "path", "scope"), "scopes")
+    m = _members(s).join(s.select("fork", "head").distinct(), "fork")
     ordered = F.sort_array(F.collect_list(F.struct("fork", "head")))
     c = m.groupBy("path").agg(ordered.alias("m"))
     c = c.select("path", F.array_join(F.transform("m", lambda x: F.concat_ws("@", x["fork"].cast("string"), x["head"].cast("string"))), ",").alias("signature"), F.size("m").cast("long").alias("forks"))
