@@ -218,6 +218,14 @@ def test_radar_members_make_no_pairs(spark):
     assert most < 10_000  # a third of the forks and all of them are 120,000 pairs
 
 
+def test_radar_events_make_no_pairs(spark):
+    old, new = _crowd(spark, 500), _crowd(spark, 600)
+    claims, got = spark.createDataFrame([("one/**", 1)], "pattern string, workspace int"), []
+    most, _ = _most(spark, lambda: got.extend(pairs(R.events(R.conflicts(old, claims), R.conflicts(new, claims), "f"), "path", "state", "claim_state")))
+    assert got == [("d", "updated", "unclaimed"), ("one/path", "updated", "covered")]
+    assert most < 10_000
+
+
 def test_updates_after_cursors(spark):
     log = spark.createDataFrame([(i, f"s{i}") for i in range(1, 9)], "sequence long, snapshot_id string")
     assert pairs(L.updates_after(log, "s3", 2), "sequence", "cursor_found") == [(4, True), (5, True)]
