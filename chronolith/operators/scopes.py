@@ -46,7 +46,11 @@ def recompute(base: DataFrame, head: DataFrame, paths: DataFrame) -> DataFrame:
     directory is told by its relevant leaves, or by itself without any; other entries by add, modify, delete.
     Classes that are made again, and control paths, make no scope.
     """
-    p = shared_table(paired(base, head, paths.select("path").where(~radar_ignored(F.col("path")))), "changed")
+    return _told(shared_table(paired(base, head, paths.select("path").where(~radar_ignored(F.col("path")))), "changed"), head)
+
+
+def _told(p: DataFrame, head: DataFrame) -> DataFrame:
+    """``recompute`` of paths with their entries in base and head: path, l, r."""
     left, right = F.col("l.kind").isNotNull(), F.col("r.kind").isNotNull()
     relevant = lambda side: F.coalesce(F.col(f"{side}.class").isin(*RELEVANT), F.lit(False))
     flip = left & right & (_is_dir("l") != _is_dir("r"))
@@ -77,10 +81,11 @@ def observe(base: DataFrame, head: DataFrame, previous: DataFrame | None = None,
     scopes below a directory that both lack, as it came and went between, stay until they are told anew.
     """
     paths = shared_table(visited(base if previous is None else previous, head), "visited")
-    new = shared_table(recompute(base, head, paths), "scopes")
     if previous is None or stored is None:
-        return new
-    at = paths.join(paired(base, head, paths), "path", "left").select("path", (_is_dir("l") != _is_dir("r")).alias("structural"))
+        return shared_table(recompute(base, head, paths), "scopes")
+    both = shared_table(paths.join(paired(base, head, paths), "path", "left"), "changed")
+    new = shared_table(_told(both.where(~radar_ignored(F.col("path"))), head), "scopes")
+    at = both.select("path", (_is_dir("l") != _is_dir("r")).alias("structural"))
     kept = stored.join(at, "path", "left_anti")
     whole = at.where("structural").select(F.col("path").alias("above"))
     below = with_ancestors(kept.select("path")).join(whole, "above", "left_semi").select("path").distinct()

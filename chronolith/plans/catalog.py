@@ -12,7 +12,7 @@ from ..operators import diff as D
 from ..operators import reach as G
 from ..operators import scopes as S
 from ..operators import store as T
-from ..sources.shared import shared_folder
+from ..sources.shared import shared_folder, shared_table
 from .model import CHUNKS_SQL, EDGES_SQL, PROJECT_DIRS, PROJECT_NAMES, chunks, edges, leaves, table, tree, tree_sql
 from .states import RULES, _CLASS_SQL, _diff_sql, _in_rules, _qs
 
@@ -38,6 +38,11 @@ def _state(spark: SparkSession, sf: str, side: str) -> DataFrame:
     return every.withColumn("class", P.classify(F.col("path")))
 
 
+def _states(spark: SparkSession, sf: str, *sides: str) -> list[DataFrame]:
+    """States that several steps read: each is made and classified once, and written."""
+    return [shared_table(_state(spark, sf, s), s) for s in sides]
+
+
 def _state_sql(*sides: str) -> str:
     """The states as common table expressions {side}(path, kind, target, mode, size, class), without WITH."""
     out = []
@@ -89,12 +94,12 @@ def _recompute_sql(paths: str, name: str) -> str:
 
 
 def radar_scopes(spark: SparkSession, sf: str) -> DataFrame:
-    return S.observe(_state(spark, sf, "base"), _state(spark, sf, "head"))
+    return S.observe(*_states(spark, sf, "base", "head"))
 
 
 def radar_observe(spark: SparkSession, sf: str) -> DataFrame:
     """Scopes of the head, from those of the head before and what changed since."""
-    base, prev, head = (_state(spark, sf, s) for s in ("base", "prev", "head"))
+    base, prev, head = _states(spark, sf, "base", "prev", "head")
     return S.observe(base, head, prev, S.observe(base, prev))
 
 

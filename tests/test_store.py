@@ -39,6 +39,18 @@ def test_scopes_by_case(spark):
     assert scopes(S.observe(base, base, head, S.observe(base, head))) == [("new/z", 0, "add")]
 
 
+def test_states_of_observed_heads_are_made_once(spark):
+    from chronolith.plans import catalog
+
+    plans = spark._jsparkSession.sharedState().statusStore()
+    runs = lambda: (lambda s: {s.apply(i).executionId() for i in range(s.size())})(plans.executionsList())
+    before = runs()
+    assert catalog.radar_observe(spark, "/root/testdata/sf0.001").count() > 0
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    nodes = [n.apply(i).desc() for n in (plans.planGraph(r).allNodes() for r in runs() - before) for i in range(n.size())]
+    assert sum("part.parquet" in d for d in nodes) <= 6  # of each of three states the files and the directories
+
+
 @pytest.mark.parametrize(("pattern", "path", "hit"), [("a[!]b", "a[!]b", True), ("a[!]b", "ab", False), ("[a-c]x", "bx", True), ("[!a-c]x", "bx", False), ("[z-a]", "m", False), ("[]", "[]", True), ("x[", "x[", True), ("[^/]y", "/y", False), ("a.[ch]", "a.c", True), ("a.[ch]", "abc", False), ("[]]", "]", False), ("[.-0]/**", "//q", False), ("[\\]", "\\", True)])
 def test_globs_with_classes(spark, pattern, path, hit):
     one = spark.createDataFrame([(pattern, path)], "g string, path string")
