@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import glob_column, literal_prefix, self_and_ancestors, with_ancestors
 from ..functions.values import digest_id
-from ..sources.shared import shared_table
+from ..sources.shared import joined_side, shared_table
 
 
 #: Forks of a label in one block: two blocks meet in one task, and a block of them stays in the join's memory (4,096 rows).
@@ -47,14 +47,14 @@ def _extents(s: DataFrame) -> DataFrame:
 def _met(s: DataFrame, extents: DataFrame, labels: DataFrame) -> DataFrame:
     """What forks have for each of the labels, which are rows of ``extents``: path (the label), fork, flags, and the label's other columns.
 
-    A path is led to its labels once, and its scopes follow by equality of paths.
+    A path is led to its labels once, and its scopes, which stay where they are while such paths are few, follow by equality of paths.
     """
     label = labels.select(F.col("path").alias("label"), *(c for c in labels.columns if c != "path"))
     down = with_ancestors(extents.select("path"), alias="label", inclusive=True).join(label, "label").withColumn("place", F.when(F.col("path") == F.col("label"), 0).otherwise(1))
     down = down.where("place = 0 OR low IS NOT NULL")
     up = with_ancestors(label.where("low IS NOT NULL").withColumn("at", F.col("label")), "at", "path").drop("at")
     up = up.join(extents.where("low IS NOT NULL").select("path"), "path", "left_semi").withColumn("place", F.lit(2))
-    met = s.join(down.unionByName(up), "path").where("place < 2 OR scope = 1")
+    met = s.join(joined_side(down.unionByName(up), "led"), "path").where("place < 2 OR scope = 1")
     flags = F.when(F.col("scope") == 1, F.when(F.col("place") == 0, TREE | OTHER).otherwise(OTHER)).otherwise(F.when(F.col("place") == 0, AT | LEAF).otherwise(LEAF))
     return met.withColumn("flags", flags).drop("path", "scope", "place").withColumnRenamed("label", "path")
 
@@ -94,22 +94,27 @@ def members(scopes: DataFrame) -> DataFrame:
     Whether a fork has a pair at a path is told by the least and greatest forks there, so pairs are not made:
     a path or a subtree that all forks change stays linear.
     """
-    return _members(shared_table(scopes.select("fork", "path", "scope"), "scopes"))
+    s = shared_table(scopes.select("fork", "path", "scope"), "scopes")
+    return shared_table(_members(s, *_topmost(s)), "members")
 
 
-def _members(s: DataFrame) -> DataFrame:
-    """``members`` of scopes that are written."""
+def _topmost(s: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Extents of scopes that are written, and those of the topmost conflict paths."""
     e = _extents(s)
     hit = e.where("first < final OR low < last OR leaf < high")
     nested = with_ancestors(hit.select("path")).join(hit.select(F.col("path").alias("above")), "above", "left_semi").select("path").distinct()
-    top = shared_table(hit.join(nested, "path", "left_anti"), "topmost")
-    m = _met(s.select("fork", "path", "scope"), e, top)
+    return e, shared_table(hit.join(nested, "path", "left_anti"), "topmost")
+
+
+def _members(s: DataFrame, e: DataFrame, top: DataFrame, *more: str) -> DataFrame:
+    """``members`` of scopes that are written, with their extents; ``more`` columns of the scopes stay with a member."""
+    m = _met(s.select("fork", "path", "scope", *more), e, top)
     fork = F.col("fork")
     same = _has("flags", AT) & (F.col("first") < F.col("final"))
     tree = _has("flags", TREE) & (F.coalesce(fork < F.col("last"), F.lit(False)) | F.coalesce(F.col("leaf") < fork, F.lit(False)))
     met = (F.col("low") < fork) | (_has("flags", LEAF) & (fork < F.col("high")))
     paired = F.coalesce(same, F.lit(False)) | tree | F.coalesce(met, F.lit(False))
-    return shared_table(m.where(paired).select("path", "fork").distinct(), "members")
+    return m.where(paired).select("path", "fork", *more).distinct()
 
 
 def claim_states(paths: DataFrame, claims: DataFrame) -> DataFrame:
@@ -129,15 +134,29 @@ def claim_states(paths: DataFrame, claims: DataFrame) -> DataFrame:
     return paths.join(n, "path", "left").select("path", state.alias("claim_state"))
 
 
-def conflicts(scopes: DataFrame, claims: DataFrame) -> DataFrame:
-    """Active conflicts: path, signature over members and their heads, claim_state, forks."""
-    s = shared_table(scopes.select("fork", "head", "path", "scope"), "scopes")
-    m = _members(s).join(s.select("fork", "head").distinct(), "fork")
-    ordered = F.sort_array(F.collect_list(F.struct("fork", "head")))
-    c = m.groupBy("path").agg(ordered.alias("m"))
+def conflicts(scopes: DataFrame, claims: DataFrame, state: str | None = None) -> DataFrame:
+    """Active conflicts: path, signature over members and their heads, claim_state, forks.
+
+    With ``state``, a column of scopes whose values have no slash, the conflicts within each of its values, and that column:
+    all are told in the same steps, for which paths have it as their first component.
+    A head comes along with its scopes, so members meet no table of heads, unless a fork has several.
+    """
+    of = [state] if state else []
+    first, rest = F.substring_index("path", "/", 1), F.expr("substring(path, instr(path, '/') + 1)")
+    path = F.concat(F.col(state).cast("string"), F.lit("/"), F.col("path")) if state else F.col("path")
+    s = shared_table(scopes.select("fork", "head", path.alias("path"), "scope", *of), "scopes")
+    e, top = _topmost(s)
+    m = _members(s, e, top, "head").where("fork IS NOT NULL")
+    heads = s.groupBy(*of, "fork").agg(F.min("head").alias("a"), F.max("head").alias("b"), F.count("head").alias("n"), F.count("*").alias("all"))
+    if not heads.where("a <> b OR (n > 0 AND n < all)").isEmpty():
+        m = m.withColumns({c: first.cast(s.schema[c].dataType) for c in of}).drop("head").distinct()
+        m = m.join(s.select(*of, "fork", "head").distinct(), [*of, "fork"])
+    c = m.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("fork", "head"))).alias("m"))
     c = c.select("path", F.array_join(F.transform("m", lambda x: F.concat_ws("@", x["fork"].cast("string"), x["head"].cast("string"))), ",").alias("signature"), F.size("m").cast("long").alias("forks"))
-    c = shared_table(c, "conflicts")
-    return c.join(claim_states(c, claims), "path")
+    if state:
+        c, top = (t.withColumns({state: first.cast(s.schema[state].dataType), "path": rest}) for t in (c, top))
+    claimed = joined_side(claim_states(top, claims), "claimed")
+    return shared_table(c.join(claimed, "path").select(*of, "path", "signature", "claim_state", "forks"), "conflicts")
 
 
 def events(old: DataFrame, new: DataFrame, family: str, known: DataFrame | None = None) -> DataFrame:

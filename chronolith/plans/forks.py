@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..operators import radar as R
-from .model import TIMELINE_SQL, dirty_scopes, scopes_sql, timeline
+from .model import TIMELINE_SQL, dirty_scopes, dirty_scopes_by_phase, scopes_sql, timeline
 
 FAMILY = "family"
 CLAIMS = (("click/**", 1), ("click/3/*", 2), ("error/1/4", 1), ("error/?/5", 3), ("purchase/**", 4), ("view/*/7", 5), ("signup/2", 6))
 
 
 def _claims(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(CLAIMS), "pattern string, workspace int")
+    rows = F.array(*(F.struct(F.lit(p).alias("pattern"), F.lit(w).alias("workspace")) for p, w in CLAIMS))
+    return spark.range(0, 1, 1, 1).select(F.inline(rows))
 
 
 def radar_pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -45,15 +46,22 @@ def radar_claim_states(spark: SparkSession, sf: str) -> DataFrame:
     return R.claim_states(dirty_scopes(spark, sf).select("path"), _claims(spark))
 
 
+def _phases(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Conflicts of the earlier and of the later state, told together."""
+    c = R.conflicts(dirty_scopes_by_phase(spark, sf), _claims(spark), "phase")
+    old, new = (c.where(F.col("phase") == phase).drop("phase") for phase in (0, 1))
+    return old, new
+
+
 def radar_events(spark: SparkSession, sf: str) -> DataFrame:
-    old, new = (R.conflicts(dirty_scopes(spark, sf, phase), _claims(spark)) for phase in (0, 1))
+    old, new = _phases(spark, sf)
     e = R.events(old, new, FAMILY)
     return e.select("path", "state", "claim_state", "conflict_id", "event_id")
 
 
 def radar_events_again(spark: SparkSession, sf: str) -> DataFrame:
     """Telling the same changes again gives no event that the log has; opened ones are kept in it here."""
-    old, new = (R.conflicts(dirty_scopes(spark, sf, phase), _claims(spark)) for phase in (0, 1))
+    old, new = _phases(spark, sf)
     e = R.events(old, new, FAMILY)
     return R.events(old, new, FAMILY, e.where("state = 'opened'")).groupBy("state").agg(F.count("*").alias("n"))
 

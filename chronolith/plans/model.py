@@ -110,14 +110,36 @@ HISTORY_SQL = """
 timeline AS (SELECT o_custkey AS workspace, o_orderkey AS sequence, floor(epoch_us(o_orderdate) / 1000000)::BIGINT AS sealed_at FROM orders)"""
 
 
-def dirty_scopes(spark: SparkSession, sf_dir: str, phase: int = 0) -> DataFrame:
-    """What each fork has changed: fork, head, path, scope (1: the whole subtree). Phase 1 is a later state."""
-    t = timeline(spark, sf_dir).where("sequence % 10 <> 3" if phase else "sequence % 10 <> 7")
+#: Which of the log's sequences the forks of a phase have.
+PHASES = ("sequence % 10 <> 7", "sequence % 10 <> 3")
+
+
+def _scoped(t: DataFrame, *more: Column) -> DataFrame:
     subtree = F.col("sequence") % 101 == 0
     path = F.concat_ws("/", "kind", F.col("k").cast("string"), F.when(~subtree, (F.col("sequence") % 30).cast("string")))
-    rows = t.select(F.col("workspace").alias("fork"), path.alias("path"), subtree.cast("int").alias("scope"))
+    return t.select(F.col("workspace").alias("fork"), path.alias("path"), subtree.cast("int").alias("scope"), *more)
+
+
+def dirty_scopes(spark: SparkSession, sf_dir: str, phase: int = 0) -> DataFrame:
+    """What each fork has changed: fork, head, path, scope (1: the whole subtree). Phase 1 is a later state."""
+    t = timeline(spark, sf_dir).where(PHASES[phase])
     head = t.groupBy(F.col("workspace").alias("fork")).agg(F.max("sequence").alias("head"))
-    return rows.distinct().join(head, "fork")
+    return _scoped(t).distinct().join(head, "fork")
+
+
+def dirty_scopes_by_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``dirty_scopes`` of both phases, with the column phase: what both have is read and shuffled once.
+
+    Heads, a row a fork, are hashed and not sorted.
+    """
+    t = timeline(spark, sf_dir)
+    earlier, later = map(F.expr, PHASES)
+    bits = F.when(earlier, 1).otherwise(0) + F.when(later, 2).otherwise(0)
+    rows = _scoped(t, bits.alias("phases")).where("phases > 0").groupBy("fork", "path", "scope").agg(F.bit_or("phases").alias("phases"))
+    heads = t.groupBy(F.col("workspace").alias("fork")).agg(F.max(F.when(earlier, F.col("sequence"))).alias("one"), F.max(F.when(later, F.col("sequence"))).alias("two"))
+    both = rows.join(heads.hint("shuffle_hash"), "fork")
+    phase = F.explode(F.when(F.col("phases") == 1, F.array(F.lit(0))).when(F.col("phases") == 2, F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1))))
+    return both.withColumn("phase", phase).select("fork", F.when(F.col("phase") == 0, F.col("one")).otherwise(F.col("two")).alias("head"), "path", "scope", "phase")
 
 
 def scopes_sql(name: str = "scopes", phase: int = 0) -> str:

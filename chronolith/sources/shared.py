@@ -8,6 +8,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a table that a join may copy to all tasks.
+COPIED_ROWS = 200_000
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -40,3 +44,12 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def joined_side(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written and counted, ready to be joined to more rows: copied while its own rows are few, else merged by a shuffle.
+
+    Spark decides by bytes of files, in which millions of repeated values are small, and would copy the other side.
+    """
+    t = shared_table(df, name)
+    return F.broadcast(t) if t.count() <= COPIED_ROWS else t.hint("merge")

@@ -226,6 +226,57 @@ def test_radar_events_make_no_pairs(spark):
     assert most < 10_000
 
 
+def test_radar_copies_no_scopes_to_all_tasks(spark):
+    """Scopes take few bytes in files; a join copies the paths that they are led to, and not the scopes."""
+    plans = spark._jsparkSession.sharedState().statusStore()
+    runs = lambda: (lambda s: {s.apply(i).executionId() for i in range(s.size())})(plans.executionsList())
+    known, got = runs(), []
+    s = spark.range(4000).selectExpr("id AS fork", "id AS head", "concat('d/', id % 7) AS path", "0 AS scope")
+    claims = spark.createDataFrame([("d/**", 1)], "pattern string, workspace int")
+    got.extend(pairs(R.conflicts(s, claims), "path", "forks", "claim_state"))
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    copied = []
+    for run in runs() - known:
+        values, nodes = plans.executionMetrics(run), plans.planGraph(run).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if node.name() == "BroadcastExchange":
+                found = [values.get(m.accumulatorId()) for m in (node.metrics().apply(i) for i in range(node.metrics().size())) if m.name() == "number of output rows"]
+                copied.extend(int(v.get().replace(",", "")) for v in found if v.isDefined())
+    assert got == [(f"d/{i}", 4000 // 7 + (i < 4000 % 7), "covered") for i in range(7)]
+    assert copied and max(copied) < 100
+
+
+def test_radar_conflicts_of_states_in_one_pass(spark):
+    """States told together are those told alone, with null forks and heads, several heads of a fork, and paths that are empty or begin with a slash."""
+    rng = random.Random(5)
+    names = ["", "a", "b", "a-x"]
+    rows = {(rng.choice([0, 1]), rng.choice([None, 1, 2, 3, 4]), rng.choice([None, 7, 8]), "/".join(rng.choice(names) for _ in range(rng.randint(1, 3))), rng.randint(0, 1)) for _ in range(60)}
+    claims = spark.createDataFrame([("a/**", 1), ("**", 2)], "pattern string, workspace int")
+    columns = ("path", "signature", "claim_state", "forks")
+    for rows in (rows, {(p, f, f and f + 10 * p, path, c) for p, f, _, path, c in rows}):
+        s = spark.createDataFrame([*rows, (0, 1, 5, None, 0)], "phase int, fork long, head long, path string, scope int")
+        both = R.conflicts(s, claims, "phase")
+        for phase in (0, 1):
+            t = s.where(f"phase = {phase}").drop("phase")
+            alone = pairs(R.conflicts(t, claims), *columns)
+            assert pairs(both.where(f"phase = {phase}"), *columns) == alone != []
+            heads = {}
+            for r in t.collect():
+                heads.setdefault(r.fork, set()).add((r.head is not None, r.head or 0))
+            told = {}
+            for path, fork in pairs(R.members(t).where("fork IS NOT NULL"), "path", "fork"):
+                told.setdefault(path, []).extend(f"{fork}@{h}" if given else str(fork) for given, h in sorted(heads[fork]))
+            assert [(p, sig, n) for p, sig, _, n in alone] == [(p, ",".join(told[p]), len(told[p])) for p in sorted(told)]
+
+
+def test_scopes_of_both_phases_from_one_read(spark):
+    from chronolith.plans.model import dirty_scopes, dirty_scopes_by_phase
+
+    both, columns = dirty_scopes_by_phase(spark, "/root/testdata/sf0.001"), ("fork", "head", "path", "scope")
+    for phase in (0, 1):
+        assert pairs(both.where(f"phase = {phase}"), *columns) == pairs(dirty_scopes(spark, "/root/testdata/sf0.001", phase), *columns) != []
+
+
 def test_updates_after_cursors(spark):
     log = spark.createDataFrame([(i, f"s{i}") for i in range(1, 9)], "sequence long, snapshot_id string")
     assert pairs(L.updates_after(log, "s3", 2), "sequence", "cursor_found") == [(4, True), (5, True)]
